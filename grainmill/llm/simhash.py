@@ -230,7 +230,8 @@ def edges(points: DataFrame, h: int = H, group: int = GROUP) -> DataFrame:
 
 def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``id, root`` for every id in ``pairs`` (a, b): root is the lowest id of its connected component."""
-    e = cut(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    e = cut(pairs.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct())
     label = cut(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(max_rounds):
         by_edge = e.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("seen"))
