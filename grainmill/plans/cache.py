@@ -66,7 +66,7 @@ def fingerprint_files(paths: Sequence[str], mode: str = "metadata") -> SourceFin
 
 @dataclass(frozen=True)
 class CacheConfig:
-    """Root: argument, else MVP_DATASET_CACHE_DIR, else XDG_CACHE_HOME, else ~/.cache."""
+    """Root: argument, else GRAINMILL_CACHE_DIR, else XDG_CACHE_HOME, else ~/.cache."""
 
     root: str = ""
     fingerprint_mode: str = ""
@@ -75,11 +75,11 @@ class CacheConfig:
 
     def __post_init__(self) -> None:
         env = os.environ
-        root = self.root or env.get("MVP_DATASET_CACHE_DIR") or os.path.join(env.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "grainmill")
-        mode = self.fingerprint_mode or env.get("MVP_DATASET_CACHE_FINGERPRINT_MODE", "metadata")
+        root = self.root or env.get("GRAINMILL_CACHE_DIR") or os.path.join(env.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "grainmill")
+        mode = self.fingerprint_mode or env.get("GRAINMILL_CACHE_FINGERPRINT_MODE", "metadata")
         if mode not in ("metadata", "content"):
             raise ValueError(f"[InvalidCacheFingerprintMode] {mode!r} is neither metadata nor content")
-        wait = float(env.get("MVP_DATASET_CACHE_WAIT_TIMEOUT_SECONDS", 1800)) if self.wait_timeout == -1.0 else self.wait_timeout
+        wait = float(env.get("GRAINMILL_CACHE_WAIT_TIMEOUT_SECONDS", 1800)) if self.wait_timeout == -1.0 else self.wait_timeout
         if not wait > 0:
             raise ValueError(f"[InvalidCacheWaitTimeout] must be > 0, got {wait}")
         if not self.poll_interval > 0:

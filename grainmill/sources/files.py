@@ -199,7 +199,7 @@ def tar_units(paths: Sequence[str], total_slots: int, sidecars: Sequence[tuple[s
 
 def key_level() -> int:
     """How many dot-separated parts of a member's base name are its key."""
-    raw = os.environ.get("MVP_DATASET_TAR_KEY_DOT_LEVEL", "1")
+    raw = os.environ.get("GRAINMILL_TAR_KEY_DOT_LEVEL", "1")
     if not raw.isdigit() or int(raw) < 1:
         raise ValueError(f"[InvalidTarKeyDotLevel] must be a whole number from 1, got {raw!r}")
     return int(raw)
