@@ -86,7 +86,8 @@ def permuted(index: Column, total: int, seed: int, back: bool = False, rounds: C
     @F.pandas_udf("long")
     def run_rounds(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for s, r in it:
-            seeds = np.array([(seed + int(x)) & M64 for x in (u := np.unique(r.to_numpy()))], _U)
+            u = np.unique(r.to_numpy())
+            seeds = np.array([(seed + int(x)) & M64 for x in u], _U)
             yield pd.Series(permute(s.to_numpy(), total, seeds[np.searchsorted(u, r.to_numpy())], back))
 
     return run_rounds(index.cast("long"), rounds.cast("long"))

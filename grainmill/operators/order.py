@@ -111,7 +111,7 @@ def shuffled_place(row: Column, total: int, mode: str, seed: int, chunk: ChunkSh
 def deal_rows(df: DataFrame, index: str, total: int, select: Selection, mode: str, seed: int, chunk: ChunkShuffle, total_slots: int, rounds: int) -> DataFrame:
     """Add slot, round and place to rows numbered by ``index`` (0..total - 1). Rows outside the selection go. No shuffle, no join."""
     r = F.lit(0) if rounds == 1 else F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    df = df.withColumn(ROUND, r.cast("int"))
+    df = df.withColumn(ROUND, r)
     if select.seed is None:
         df = df.withColumn("__eff__", shuffled_place(F.col(index), total, mode, seed, chunk, F.col(ROUND)) - select.start)
         df = df.where((F.col("__eff__") >= 0) & (F.col("__eff__") < select.count))

@@ -6,7 +6,7 @@ import warnings
 import weakref
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
-from functools import lru_cache, partial
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -41,6 +41,25 @@ def _places(strategy: str, counts: tuple, weights: tuple, source: int, seed: int
     return mixing.places(strategy, counts, weights, source, np.arange(counts[source]), seed)
 
 
+def _placer(strategy: str, counts: dict[int, tuple], weights: tuple, source: int, seed: int):
+    """A UDF from (slot, n) to the place in the merged stream of the n-th row of a source."""
+
+    @F.pandas_udf("long")
+    def place(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for slot, pos in it:
+            s, p = slot.to_numpy(), pos.to_numpy()
+            got = np.empty(len(s), np.int64)
+            for x in np.unique(s):
+                k = s == x
+                if strategy in ("random", "weighted_random"):
+                    got[k] = _places(strategy, counts[int(x)], weights, source, seed + int(x))[p[k]]
+                else:
+                    got[k] = mixing.places(strategy, counts[int(x)], weights, source, p[k], 0)
+            yield pd.Series(got)
+
+    return place
+
+
 @dataclass(frozen=True, eq=False)
 class Dataset:
     spark: SparkSession
@@ -133,6 +152,13 @@ class Dataset:
             raise ValueError("[MixedSourceContextMismatch] all sources must have the context of the mix")
         return cls(spark, context, "mixed", tuple(pairs), {"strategy": strategy, "weights": tuple(w.values())}, (), resample or any(d.resample for _, d in pairs))
 
+    def at(self, context: RuntimeContext) -> Dataset:
+        """The same pipeline read by another rank or number of workers."""
+        if self.kind in UNITS and len(self.source) < context.total_slots:
+            raise ValueError(f"[InsufficientItemsForSlot] {len(self.source)} units of {self.kind} for {context.total_slots} slots")
+        source = tuple((n, d.at(context)) for n, d in self.source) if self.kind == "mixed" else self.source
+        return replace(self, context=context, source=source, pending=None)
+
     # -- selections on the source ------------------------------------------------------------------------------------
 
     @property
@@ -307,19 +333,7 @@ class Dataset:
         out = None
         for i, ((name, _), f) in enumerate(zip(self.source, frames)):
 
-            @F.pandas_udf("long")
-            def place(it: Iterator[tuple[pd.Series, pd.Series]], i=i) -> Iterator[pd.Series]:
-                for slot, pos in it:
-                    s, p = slot.to_numpy(), pos.to_numpy()
-                    got = np.empty(len(s), np.int64)
-                    for x in np.unique(s):
-                        k = s == x
-                        if o["strategy"] in ("random", "weighted_random"):
-                            got[k] = _places(o["strategy"], known[int(x)], o["weights"], i, seed + int(x))[p[k]]
-                        else:
-                            got[k] = mixing.places(o["strategy"], known[int(x)], o["weights"], i, p[k], 0)
-                    yield pd.Series(got)
-
+            place = _placer(o["strategy"], known, o["weights"], i, seed)
             f = f.withColumn(POS, place(F.col(SLOT), F.col(POS))).withColumn("__source__", F.lit(name))
             out = f if out is None else out.unionByName(f, allowMissingColumns=True)
         return out
@@ -489,4 +503,4 @@ class DatasetIterator:
         return identity.envelope(self._own(), None if self.ended or not self.yielded else {"yielded": self.yielded})
 
 
-__all__ = ["Dataset", "DatasetIterator", "Stage", "partial"]
+__all__ = ["Dataset", "DatasetIterator", "Stage", "UnsupportedResumeError"]
