@@ -161,7 +161,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS) -> Model:
             x = features(b.column(2), dims)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "lang", "x"])
 
-    rows = docs.join(F.broadcast(sample), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))).select("_id", "_lang", docs["text"])
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("_id", "_lang", "text")
     got = rows.mapInArrow(run, "id long, lang string, x binary").toArrow().sort_by("id")
     if not len(got):
         return Model()

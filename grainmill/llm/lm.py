@@ -73,9 +73,10 @@ def _codes(h: np.ndarray, first: np.ndarray, vocab: np.ndarray) -> tuple[np.ndar
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_target``."""
+    """``text`` of each of ``docs`` and ``_target``, whether it is labelled as good."""
     good = cut(labels.where("doc_id IS NOT NULL AND quality > 0").select(F.col("doc_id").alias("_good")).distinct())
-    return docs.join(small(good.withColumn("_is", F.lit(True))), docs["doc_id"] == F.col("_good"), "left").withColumn("_target", F.col("_is").isNotNull()).drop("_good", "_is")
+    slim = docs.select(F.col("doc_id").alias("_id"), "text")
+    return slim.join(small(good), F.col("_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("_target"))
 
 
 def counts(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
@@ -124,7 +125,7 @@ def losses(c: np.ndarray, v: int, mu: float = MU) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, vocab_size: int = VOCAB, mu: float = MU) -> Models:
     """Count over all documents and make both models. At most ``vocab_size ** 2`` counts come to the driver."""
     vocab = vocabulary(docs, vocab_size)
-    got = counts(marked(docs.select("doc_id", "text"), labels), vocab).toArrow()
+    got = counts(marked(docs, labels), vocab).toArrow()
     v = len(vocab) + 2
     tables = []
     for name in ("target", "background"):

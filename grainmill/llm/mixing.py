@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.llm import text as tx
 from grainmill.session import attach, cut, small
 
 WEIGHTS = {"src0": 4}
@@ -53,9 +54,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default_weight:
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col("text"), F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     whole = F.floor("_rate")
-    times = (whole + F.when(draw < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
-    joined = docs.select(*cols).join(small(r, 100_000), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_n", times).where("_n > 0").select(*cols, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    times = (whole + F.when(F.col("_draw") < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
+    joined = tx.packed(docs.select(*cols), _from=F.col("source"), _draw=draw).join(small(r, 100_000), F.col("_from").eqNullSafe(F.col("_source")))
+    copies = joined.withColumn("_n", times).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    return tx.unpacked(copies, cols, copy=F.col("copy"))
 
 
 def sql(table: str = "documents", weights: dict[str, int] | None = None, default_weight: int = DEFAULT_WEIGHT, seed: int = 0, columns: str = "doc_id, text, lang, source, n_chars") -> str:

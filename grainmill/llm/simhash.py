@@ -26,8 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainmill.llm import text as tx
 from grainmill.session import attach, cut, small
@@ -264,14 +265,18 @@ def dedup(docs: DataFrame, h: int = H) -> DataFrame:
     Only the ids to drop are joined; they are broadcast if they are few, else both sides are shuffled by doc_id.
     """
     attach(docs.sparkSession)
-    gone = cut(groups(docs, h).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
-    kept = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = cut(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _again IS NOT NULL").select("_again"))
+    key = F.col("doc_id").cast("long")
+    gone = small(cut(groups(docs, h).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone"))))
+    kept = tx.packed(docs, _key=key).join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    again = cut(docs.groupBy(key.alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _again IS NOT NULL").select("_again"))
     if not again.limit(1).count():
-        return kept
-    from pyspark.sql import Window
+        return tx.unpacked(kept, docs.columns)
+    again = small(again)
+    twice = kept.join(again, F.col("_key") == F.col("_again"), "left_semi")
+    order = [F.col("_row").getField(c) for c in ("text", *(c for c in docs.columns if c not in ("text", "doc_id"))) if _sortable(docs.schema[c].dataType)]
+    one = twice.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_rank = 1").drop("_rank")
+    return tx.unpacked(kept.join(again, F.col("_key") == F.col("_again"), "left_anti").unionByName(one), docs.columns)
 
-    twice = kept.join(small(again), kept["doc_id"] == F.col("_again"), "left_semi")
-    order = ["text", *(c for c, t in docs.dtypes if c not in ("text", "doc_id") and not t.startswith("map"))]
-    one = twice.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("_rank = 1").drop("_rank")
-    return kept.join(small(again), kept["doc_id"] == F.col("_again"), "left_anti").unionByName(one)
+
+def _sortable(kind: T.DataType) -> bool:
+    return not any(x in kind.simpleString() for x in ("map<", "variant", "void", "interval"))

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -19,6 +21,16 @@ _pow = np.ones(1, _U)
 _inv = np.ones(1, _U)
 
 
+def packed(df: DataFrame, **added: Column) -> DataFrame:
+    """All columns in one, ``_row``, next to ``added``: whatever the input's columns are called, they clash with nothing."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"), *[v.alias(k) for k, v in added.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of ``_row`` again, some of them replaced, and others of ``replaced`` added."""
+    return df.select(*[replaced.get(c, F.col("_row").getField(c)).alias(c) for c in columns], *[v.alias(k) for k, v in replaced.items() if k not in columns])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser (splitmix64): every output bit depends on all input bits."""
     x = np.asarray(x, _U).copy()
