@@ -63,9 +63,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default_weight:
 def sql(table: str = "documents", weights: dict[str, int] | None = None, default_weight: int = DEFAULT_WEIGHT, seed: int = 0, columns: str = "doc_id, text, lang, source, n_chars") -> str:
     """DuckDB SQL for ``mix`` without a budget."""
     cases = "".join(f" WHEN source = '{k}' THEN {v}" for k, v in (WEIGHTS if weights is None else weights).items())
+    weight = f"CASE{cases} ELSE {default_weight} END" if cases else f"{default_weight}"
     return f"""
 WITH s AS (SELECT source AS ms, CAST(sum(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 0)) AS BIGINT) AS tokens,
-                  CAST(any_value(CASE{cases} ELSE {default_weight} END) AS DOUBLE) AS w FROM {table} GROUP BY source),
+                  CAST(any_value({weight}) AS DOUBLE) AS w FROM {table} GROUP BY source),
  t AS (SELECT sum(w) FILTER (tokens > 0) AS ww, CAST(sum(tokens) AS DOUBLE) AS tt FROM s),
  r AS (SELECT ms, CASE WHEN tokens > 0 THEN (w * tt) / (ww * tokens) WHEN w > 0 THEN 1.0 ELSE 0.0 END AS rate FROM s, t),
  d AS (SELECT {table}.*, rate, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
