@@ -7,8 +7,8 @@ are labelled weakly: a toxic row that has a word of the category's seed list.
 
 Features: whether a text has each of ``features`` words or stems (words in lower case, runs of letters and digits; stems are the first 4, 5
 and 6 bytes of longer words), those with the largest chi-square
-against ``toxic`` in the sample. The sample is bounded: at most ``max_rows`` labelled rows of either class, those with the least hash of
-doc_id. Intercepts are corrected for the share of the classes among all labels. Scoring reads every text whole and needs no shuffle.
+against ``toxic`` in the sample, if at least ``MIN_CHI``. The sample is bounded: at most ``max_rows`` labelled rows of either class, those with the least hash of
+doc_id. Intercepts are moved to classes that are equally frequent, so probabilities don't depend on how many labels are toxic or were sampled. Scoring reads every text whole and needs no shuffle.
 
 Defined cases: a null or empty text has no words and gets the probabilities of that; labels with a null doc_id or null class are left
 out; a doc_id labelled twice is toxic if any label says so; labels without either class make a model that finds nothing toxic (all
@@ -36,8 +36,10 @@ LAST = "toxic"
 MAX_ROWS = 3000
 FEATURES = 256
 STEMS = (4, 5, 6)
+#: Features with a lower chi-square are noise, mostly (of 100,000 words that mean nothing some ten get there).
+MIN_CHI = 15.0
 FOLDS = 5
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 _U = np.uint64
 
 
@@ -88,8 +90,8 @@ def presence(column, words: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(lists: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float] = (1.0, 1.0), features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """A chain from the word lists of a sample; ``shares``: which part of the negative and of the positive labels it holds."""
+def fit(lists: list[np.ndarray], toxic: np.ndarray, features: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """A chain from the word lists of a sample."""
     names = [*SEEDS, LAST]
     y = np.asarray(toxic) > 0
     if not len(y) or y.all() or not y.any():
@@ -102,7 +104,7 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float]
     got = n1 + n0
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (n1 * (q - n0) - n0 * (p - n1)) ** 2 * (p + q) / (got * (p + q - got) * p * q)
-    chi[~np.isfinite(chi) | (got < 5)] = 0
+    chi[~np.isfinite(chi) | (got < 5) | (chi < MIN_CHI)] = 0
     keep = np.sort(np.lexsort((words, -chi))[:features])
     keep = keep[chi[keep] > 0]
     words = words[keep]
@@ -114,16 +116,16 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float]
     has = {n: np.array([np.isin(tx.hash_words(list(s)), v).any() for v in lists]) for n, s in SEEDS.items()}
     fold = np.arange(len(y)) % folds
     chain, oof = Chain(names, words), np.zeros((len(y), 0), np.float32)
-    shift = float(np.log(max(shares[0], 1e-9) / max(shares[1], 1e-9)))
+    shift = float(np.log((~y).sum() / y.sum()))
     for name in names:
         target = y & has[name] if name in has else y
         z = np.hstack([x, oof])
         w, b = linear.logistic(z, target)
-        chain.links.append((w[: len(words)].copy(), w[len(words) :].copy(), b - shift))
+        chain.links.append((w[: len(words)].copy(), w[len(words) :].copy(), b + shift))
         mine = np.zeros(len(y), np.float32)
         for f in range(folds):
             wf, bf = linear.logistic(z[fold != f], target[fold != f])
-            mine[fold == f] = linear.sigmoid(z[fold == f] @ wf + bf - shift)
+            mine[fold == f] = linear.sigmoid(z[fold == f] @ wf + bf + shift)
         oof = np.hstack([oof, mine[:, None]])
     return chain
 
@@ -132,7 +134,6 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features
     """Fit the chain on at most ``max_rows`` labelled rows of either class. The sample's ids are broadcast (bounded), texts aren't shuffled."""
     attach(docs.sparkSession)
     by = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
-    n = {r[0]: r[1] for r in by.groupBy("_toxic").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [by.where(F.col("_toxic") == c).orderBy(*order).limit(max_rows) for c in (False, True)]
     sample = F.broadcast(picked[0].union(picked[1]).withColumnRenamed("doc_id", "_id"))
@@ -147,8 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features
     got = got.sort_by("id")
     toxic = got["toxic"].to_numpy(zero_copy_only=False).astype(bool)
     lists = [np.asarray(v, np.int64).view(_U) for v in got["words"].to_pylist()]
-    shares = tuple(min(1.0, max_rows / n[c]) if n.get(c) else 1.0 for c in (False, True))
-    return fit(lists, toxic, shares, features, folds)
+    return fit(lists, toxic, features, folds)
 
 
 def _probabilities(column, chain: Chain) -> np.ndarray:
