@@ -41,13 +41,15 @@ def map_columns(df: DataFrame, exprs: dict[str, Column | str]) -> DataFrame:
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructType) -> DataFrame:
-    """A Python function from row to row, called in Arrow batches; the rows' places are kept apart from it."""
+    """A Python function from row to row, called in Arrow batches; the rows' places are kept apart from it. Arrays in its results become envelopes."""
     keep, out = control(df), fields(schema)
     types = T.StructType([*(df.schema[c] for c in keep), *out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        from grainmill.plans.codecs import encode
+
         want = to_arrow_schema(types)
         for b in batches:
             rows = []
@@ -56,7 +58,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str | T.StructTy
                 made = fn(row)
                 if not isinstance(made, dict):
                     raise TypeError(f"map must return a dict, got {type(made).__name__}")
-                rows.append(held | made)
+                rows.append(held | encode(made))
             cols = [pa.array([r.get(f.name) for r in rows], f.type) for f in want]
             yield pa.RecordBatch.from_arrays(cols, schema=want)
 

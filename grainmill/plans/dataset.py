@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from pathlib import Path
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -18,11 +19,22 @@ from pyspark.sql.utils import AnalysisException
 
 from grainmill.operators import mixing, order, refs, stages, subset
 from grainmill.operators.order import POS, ROUND, SLOT, ChunkShuffle, Selection
-from grainmill.plans import cache, identity
+from grainmill.plans import cache, codecs, identity
 from grainmill.plans.context import RuntimeContext
 from grainmill.session import attach
 from grainmill.sources import files, paths, table
 
+FingerprintProvider = Callable[[], str]
+
+
+class Consumer(Protocol):
+    """A fold over a stream: ``push`` returns exactly False to stop it."""
+
+    def push(self, item: dict) -> object: ...
+
+    def finish(self) -> object: ...
+
+
 _ACTIVE: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 UNITS = ("tar", "jsonl", "parquet")
 TABLES = ("table", "lance", "snapshot")
@@ -441,7 +453,7 @@ class Dataset:
         f = self.frame(rounds)
         mine = f.where((F.col(SLOT) == self.context.slot) & (F.col(POS) >= start)).orderBy(POS)
         for r in mine.select(*stages.data_columns(f)).toLocalIterator(prefetchPartitions=True):
-            yield r.asDict(recursive=True)
+            yield codecs.decode(r.asDict(recursive=True))
 
     def consume(self, factory: Callable[[], object]) -> object:
         """Fold the stream: ``push(item)`` until it returns exactly False, then the result of ``finish()``."""
