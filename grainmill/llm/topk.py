@@ -30,7 +30,7 @@ from grainmill.session import attach, cut
 
 K = 10
 STEP = 16
-BLOCK = 4096
+BLOCK = 8192
 QUERIES = 256
 DIGITS = 6
 #: Share of pairs below which the survivors are compacted; above it whole blocks are faster.
@@ -113,7 +113,9 @@ def search_all(vectors: DataFrame, k: int = K, block: int = BLOCK, step: int = S
     """The ``k`` nearest other rows of every row of ``vectors`` (vec_id, embedding)."""
     spark = attach(vectors.sparkSession)
     schema = "vec_id long, neighbour_id long, distance double, rank int"
-    v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    # single precision is shuffled as such and widened where it is used
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & (F.size("v") > 0))
     common = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -146,7 +148,7 @@ def search_all(vectors: DataFrame, k: int = K, block: int = BLOCK, step: int = S
         bound[full] = b[full]
         return pa.table({"id": t["id"], "row": t["row"], "v": t["v"], "b": t["b"], "bound": bound})
 
-    rows = cut(rows.groupBy("b").applyInArrow(own, "id long, row long, v array<double>, b int, bound double"))
+    rows = cut(rows.groupBy("b").applyInArrow(own, f"id long, row long, v {kind}, b int, bound double"))
     # a task for each ordered pair of blocks: queries of one, candidates of the other
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     asking = rows.select("*", F.lit(True).alias("asks"), F.col("b").alias("qb"), every.alias("xb"))
