@@ -257,3 +257,16 @@ def test_slots_of_meshes_and_ranks():
 def test_sources_that_are_none(spark):
     with pytest.raises(ValueError, match="UnsupportedSourceKind"):
         Dataset.from_source("csv", "x", RuntimeContext(), spark=spark)
+
+
+def test_file_barrier(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from grainmill.plans.barrier import FileBarrier
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda r: FileBarrier(str(tmp_path), r, 3, 20).wait("start"), range(3)))
+    with pytest.raises(TimeoutError, match=r"\[1\]"):
+        FileBarrier(str(tmp_path), 0, 2, 0.2).wait("alone")
+    with pytest.raises(ValueError):
+        FileBarrier(str(tmp_path), 2, 2)
