@@ -209,5 +209,5 @@ def extract_all(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["page_id", "host", "path", "text"])
 
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    joined = slim.join(small(best), F.col("host").eqNullSafe(F.col("_host")), "left").select("page_id", "host", "html", "_path")
+    joined = slim.join(small(best, 200_000), F.col("host").eqNullSafe(F.col("_host")), "left").select("page_id", "host", "html", "_path")
     return joined.mapInArrow(run, "page_id long, host string, path string, text string")
