@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few narrow columns may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch, unless the session says otherwise: texts are long, and a batch is in memory several times over.
+BATCH_ROWS, _UNSET = "2000", "10000"
 
 
 def attach(spark: SparkSession) -> SparkSession:
@@ -23,6 +25,8 @@ def attach(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", _UNSET) == _UNSET:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     shared_dir(spark)
     return spark
 
