@@ -5,8 +5,8 @@ Fingerprint: 128 bits over the set of distinct words (lower case, runs of letter
 
 Search: each distinct fingerprint goes to ``BANDS`` buckets, one for each band of ``BAND_BITS`` bits that it shares exactly
 with the others there (bands overlap and lie ``128 / BANDS`` bits apart). In a bucket fingerprints are sorted by the Gray rank of their bits, rotated so
-that the band leads: neighbours in this order differ in few bits. Runs of ``GROUP`` become nodes of the first level and runs of
-``GROUP`` nodes become nodes of the second; a node keeps a mask of the bits that all its members share and their pattern. Two
+that the band leads: neighbours in this order differ in few bits. Runs of ``GROUP`` become nodes of the first level, runs of
+``GROUP`` nodes those of the next, until ``GROUP`` are left; a node keeps a mask of the bits that all its members share and their pattern. Two
 nodes can hold a near pair only if the shared bits of both differ in at most ``h`` places, so whole pairs of groups are pruned by
 the differences accumulated there, from the top down; members are compared word by word, the second half only where the differences so far allow.
 Within a bucket the search is exact; a pair at distance d is missed only if no band is equal (at d = 16 about 4 % are).
@@ -39,8 +39,10 @@ BAND_BITS = 12
 GROUP = 16
 LONG = 5
 SHORT_WEIGHT = 0.25
-#: Buckets of 2**BUNDLE_BITS neighbouring values are one group of the shuffle, as a group costs about a millisecond.
+#: Buckets of up to 2**BUNDLE_BITS neighbouring values are one group of the shuffle, as a group costs about a millisecond; fewer
+#: where a group would else have more than about GROUP_ROWS rows. Results don't depend on it.
 BUNDLE_BITS = 6
+GROUP_ROWS = 200_000
 _U = np.uint64
 
 
@@ -129,29 +131,35 @@ def near_pairs(x: np.ndarray, starts: np.ndarray, h: int, group: int = GROUP) ->
     n = len(x)
     if not n:
         return
-    c1 = _cuts(starts, n, group)
-    o1, z1 = _nodes(x, ~x, c1)
-    first = np.searchsorted(c1, starts)
-    c2 = _cuts(first, len(c1), group)
-    o2, z2 = _nodes(o1, z1, c2)
-    e0, e1, e2 = np.append(c1, n), np.append(c2, len(c1)), np.append(np.searchsorted(c2, first), len(c2))
-    runs = np.arange(len(starts))
-
-    def near(o: np.ndarray, z: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = _cuts(starts, n, group)
+    levels = [(*_nodes(x, ~x, cuts), np.append(cuts, n))]  # shared ones, shared zeros, where the children begin
+    first = np.searchsorted(cuts, starts)
+    fan = max(2, group)
+    while np.diff(np.append(first, len(cuts))).max() > fan:
+        o, z, _ = levels[-1]
+        up = _cuts(first, len(cuts), fan)
+        levels.append((*_nodes(o, z, up), np.append(up, len(cuts))))
+        first, cuts = np.searchsorted(up, first), up
+
+    def descend(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        o, z, edge = levels[level]
         k = np.bitwise_count((o[i] & z[j]) | (z[i] & o[j])).sum(axis=1) <= h
-        return i[k], j[k]
+        for a, b in _cross(i[k], j[k], edge):
+            if level:
+                yield from descend(level - 1, a, b)
+                continue
+            k = a < b
+            a, b = a[k], b[k]
+            d = np.bitwise_count(x[a, 0] ^ x[b, 0])
+            k = d <= h
+            a, b, d = a[k], b[k], d[k]
+            k = d + np.bitwise_count(x[a, 1] ^ x[b, 1]) <= h
+            if k.any():
+                yield a[k], b[k]
 
-    for i, j in _cross(runs, runs, e2):
-        for i1, j1 in _cross(*near(o2, z2, i, j), e1):
-            for a, b in _cross(*near(o1, z1, i1, j1), e0):
-                k = a < b
-                a, b = a[k], b[k]
-                d = np.bitwise_count(x[a, 0] ^ x[b, 0])
-                k = d <= h
-                a, b, d = a[k], b[k], d[k]
-                k = d + np.bitwise_count(x[a, 1] ^ x[b, 1]) <= h
-                if k.any():
-                    yield a[k], b[k]
+    runs = np.arange(len(starts))
+    for i, j in _cross(runs, runs, np.append(first, len(cuts))):
+        yield from descend(len(levels) - 1, i, j)
 
 
 class _Forest:
@@ -211,6 +219,8 @@ def _sketch(docs: DataFrame) -> DataFrame:
 def edges(points: DataFrame, h: int = H, group: int = GROUP) -> DataFrame:
     """A spanning forest, bucket by bucket, of the pairs of ``points`` (id, hi, lo; distinct) at distance of at most ``h``: a, b."""
     step = 128 // BANDS
+    per_value = max(1, points.count() >> BAND_BITS)
+    bundle = min(BUNDLE_BITS, max(1, GROUP_ROWS // per_value).bit_length() - 1)
 
     def band(i: int):
         # bits by..by+11 of 128, in JVM arithmetic on the two halves
@@ -226,7 +236,7 @@ def edges(points: DataFrame, h: int = H, group: int = GROUP) -> DataFrame:
         return F.struct(F.lit(i).alias("band"), x.bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("value"))
 
     routed = points.select("id", "hi", "lo", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("k")).select("id", "hi", "lo", "k.band", "k.value")
-    return routed.groupBy("band", F.shiftright("value", BUNDLE_BITS)).applyInArrow(lambda t: _bucket_edges(t, h, group), "a long, b long")
+    return routed.groupBy("band", F.shiftright("value", bundle)).applyInArrow(lambda t: _bucket_edges(t, h, group), "a long, b long")
 
 
 def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
