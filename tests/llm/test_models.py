@@ -66,6 +66,26 @@ def test_lm_matches_counting(spark):
         assert out[i][1:] == pytest.approx(w[1:], abs=1e-4) if w[0] else out[i][1:] == (None, None, None)
 
 
+def test_lm_counts_every_word(spark, monkeypatch):
+    """More words than the 1,500 that were once kept, in several parts: rare words count, and unseen ones are unknown."""
+    monkeypatch.setattr(lm, "PART_TOKENS", 500)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60))) for i in range(100)]
+    rows += [(100, " ".join(f"rare{k}" for k in range(50))), (101, " ".join(f"rare{k}" for k in range(50))), (102, " ".join(f"once{k}" for k in range(50)))]
+    good = {i for i in range(100) if i % 4 == 0}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(103)], "doc_id long, quality int, toxic int")
+    d = docs(spark, rows)
+    models = lm.train(d, labels)
+    out = {r.doc_id: (r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lm.score(d, models).collect()}
+    for i, w in _brute(rows, good, 1 << 20, lm.MU).items():
+        assert out[i] == pytest.approx(w, abs=1e-6)
+    assert out[101][2] < out[102][2] - 0.01  # the text that is there twice, by the background alone, from the one that is there once
+    others = lm.score(d.select("*"), models), lm.score(d.where("doc_id >= 0"), models)  # of other texts than those the models are of, as far as Spark knows
+    assert all({r.doc_id: tuple(r[lm.ADDED[k]] for k in range(4)) for r in x.collect()} == out for x in others)
+    [a, b] = lm.score(docs(spark, [(1, "never seen"), (2, "nor these")]), models).collect()
+    assert a.target_loss == b.target_loss and a.background_loss == b.background_loss
+
+
 def test_lm_defined_cases(spark):
     rows = [(1, "a b a b"), (1, "a b a b"), (None, "b a"), (2, ""), (3, prose(RNG, 30_000))]
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
