@@ -36,7 +36,7 @@ from grainmill.session import attach, cut, small
 MU = 10.0
 ADDED = ["n_tokens", "target_loss", "background_loss", "score"]
 #: Tokens of the corpus to a part of the table of counts; bytes of text to a chunk; grams that a task sums before it sends them on.
-PART_TOKENS, CHUNK_BYTES, SUM_GRAMS = 2_000_000, 12 << 20, 1_500_000
+PART_TOKENS, CHUNK_BYTES, SUM_GRAMS = 2_000_000, 12 << 20, 800_000
 #: Losses are multiples of this, so that their sums are exact in any order.
 GRAIN = 2.0**-24
 _U = np.uint64
@@ -88,13 +88,16 @@ def _grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     before = np.empty_like(own)
     before[1:] = own[:-1]
     before[first[:-1][first[:-1] < first[1:]]] = len(u)
-    code, pair = np.unique(before * len(w) + own, return_inverse=True)
+    own, before, code = own.astype(np.int32), before.astype(np.int32), before * len(w) + own
+    code, pair = np.unique(code, return_inverse=True)
+    pair = pair.astype(np.int32)
     v, x = np.divmod(code, len(w))
     with np.errstate(over="ignore"):
         keys = np.concatenate([tx.mix64(tx.mix64(w ^ _PAIR)[v] + w[x]), tx.mix64(w ^ _BEFORE), tx.mix64(u ^ _OWN)])
+    del v, x
     order = np.argsort(keys)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.arange(len(keys))
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.arange(len(keys), dtype=np.int32)
     return keys[order], place[pair], place[len(code) + before], place[len(code) + len(w) + own]
 
 
@@ -104,16 +107,16 @@ def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, of 4 planes if they fit, else 8: most of them compress to nothing."""
+    """Numbers as planes of bytes, of 4 planes if they fit, else 8, compressed: most planes are nearly nothing then."""
     x = x.astype("<u4" if not len(x) or x.max() < 1 << 32 else "<u8")
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True)
 
 
 def _numbers(planes: bytes, n: int) -> np.ndarray:
     """What ``_planes`` was given, of ``n`` numbers."""
     if not n:
         return np.zeros(0, _U)
-    x = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    x = np.frombuffer(pa.decompress(planes[1:], planes[0] * n, "zstd"), np.uint8).reshape(-1, n).T
     return np.ascontiguousarray(x).view(f"<u{x.shape[1]}").ravel().astype(_U)
 
 
@@ -234,7 +237,7 @@ def _packed(docs: DataFrame, at: int) -> DataFrame:
         i = TaskContext.get().partitionId() << 32
         for chunk in _chunks(batches, at):
             out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, chunk.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(out, chunk.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))) as w:
                 w.write_batch(chunk)
             size = pc.sum(pc.binary_length(chunk.column(at))).as_py() or 0
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([size], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "bytes", "rows"])
@@ -264,10 +267,13 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
             for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs = _opened(rows.as_py())
                 h, first = _tokens(docs.column(at), shared.value)
+                mine = docs.column(width).to_numpy(zero_copy_only=False).astype(bool) if same else None
+                del docs
                 if not len(h):
                     continue
                 keys, *places = _grams(h, first)
-                both = _counted(places, len(keys), docs.column(width).to_numpy(zero_copy_only=False).astype(bool), first) if same else [np.zeros(0, np.int64)] * 2
+                both = [np.zeros(0, np.int64)] * 2 if mine is None else _counted(places, len(keys), mine, first)
+                del h, places
                 b = _bounds(keys, parts)
                 p = np.flatnonzero(np.diff(b))
                 cols = [pa.array(f(x[b[i] : b[i + 1]]) for i in p) for f, x in zip((_sent, _planes, _planes), (keys, *both), strict=True)]
