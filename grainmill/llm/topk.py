@@ -1,20 +1,20 @@
 """Exact top-k search (op 2): branch and bound over columns.
 
-Vectors are kept in vertical layout, a column for each dimension. Squared distances of a block of queries to a block of vectors are
-accumulated ``STEP`` dimensions at a time. After each step the mass that is left, the norms of the remaining dimensions, bounds what
+Vectors are kept in vertical layout, in blocks of ``STEP`` dimensions. Squared distances of a query to the candidates of a block of
+rows are accumulated one block of dimensions after the other. After each the mass that is left, the norms of the remaining dimensions, bounds what
 can still be added: at least ``(|q_rest| - |x_rest|)**2``. Candidates whose bound exceeds the k-th best distance known so far
-for their query are dropped and the survivors compacted, so late dimensions are only read for few. Dimensions are taken in order of falling variance, which
-is summed over the whole table, so the bounds tighten early.
+for their query are dropped and the survivors compacted, so that each further block of dimensions is read for them alone. Dimensions are taken in order of falling
+variance, which is summed over the whole table, so the bounds tighten early.
 
-Every row is a query against all others. Rows are dealt into blocks by hash; first each block is searched in itself, which gives every
-query a bound; then each pair of blocks is a task that begins from these bounds, and the best k of all are merged. A block holds about
-``BLOCK`` rows, so each row is sent to ``n / BLOCK`` tasks, as any exact all-pairs search without an index must compare all pairs.
+Queries are the rows whose id is divisible by ``every``; each is held against all rows. Rows are dealt into blocks by hash; first the queries of each block are
+searched in it, which gives every query a bound; then each block of queries meets each block of rows in a task that begins from these bounds, and the best k of
+all are merged. A row is sent to one task for every ``BLOCK`` queries, a query to one for every ``BLOCK`` rows.
 
 Result: ``vec_id, neighbour_id, distance, rank``, Euclidean, rounded to 6 digits, ties by neighbour_id. A row is not its own neighbour.
 
 Defined cases: rows with a null id, a null vector, or one with null or not finite elements or of another than the commonest dimension (the larger of two
 equally common) are left out on both sides; rows that repeat an id are one query per row and may be each other's neighbours only under different ids; fewer than k others
-give fewer rows; an empty table gives none; further columns are ignored.
+give fewer rows; an empty table, or one without a query, gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from grainmill.session import attach, cut
 K = 10
 STEP = 16
 BLOCK = 8192
-QUERIES = 256
+EVERY = 50
+#: Queries whose first block of dimensions is computed at once, before any candidate is out.
+QUERIES = 64
 DIGITS = 6
-#: Share of pairs below which the survivors are compacted; above it whole blocks are faster.
-COMPACT = 0.02
-#: Bounds are computed in another order of summation than distances; this much may be lost on the way.
-SAFE = 1e-9
+#: Partial distances are computed as |a|^2 - 2ab + |b|^2; this much of both squared norms may be lost on the way.
+SAFE = 1e-12
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -52,65 +52,56 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(total), DIGITS)
 
 
+def _blocks(x: np.ndarray, cuts: list[int], step: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Blocks of dimensions, the squared norms in each, and the norms of all that comes after each."""
+    parts = [np.ascontiguousarray(x[:, c : c + step]) for c in cuts]
+    norms = [(p**2).sum(axis=1) for p in parts]
+    rest = np.cumsum([np.zeros(len(x)), *norms[:0:-1]], axis=0)[::-1]
+    return parts, norms, [np.sqrt(r) for r in rest]
+
+
 def search(qid: np.ndarray, q: np.ndarray, bound: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int, order: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest rows of x (with another id) to each row of q, if within ``bound``: query row, x row, distance."""
-    qc, xc = np.ascontiguousarray(q[:, order].T), np.ascontiguousarray(x[:, order].T)  # vertical
-    dims = len(order)
-    cuts = list(range(0, dims, step))
-    rest = lambda m: [np.sqrt((m[c:] ** 2).sum(axis=0)) for c in [*cuts[1:], dims]]
-    qr, xr = rest(qc), rest(xc)
+    cuts = list(range(0, len(order), step))
+    (qp, qn, qr), (xp, xn, xr) = _blocks(q[:, order], cuts, step), _blocks(x[:, order], cuts, step)
+    qq, xx = sum(qn), sum(xn)
+    slack = SAFE * len(order)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for s in range(0, len(q), QUERIES):
-        e = min(s + QUERIES, len(q))
-        tau = bound[s:e] ** 2
-        a, b = qc[:step, s:e], xc[:step]
-        part = (a**2).sum(axis=0)[:, None] - 2 * (a.T @ b) + (b**2).sum(axis=0)[None, :]
-        if not np.isfinite(tau).all() and x.shape[0] > k:
-            # a first bound: the distances to those that the first block of dimensions puts nearest
-            m = min(len(x), 2 * k + 8)
-            near = np.argpartition(part, m - 1, axis=1)[:, :m]
-            i = np.repeat(np.arange(e - s), m)
-            d = distances(q[s + i], x[near.ravel()])
-            d[qid[s + i] == xid[near.ravel()]] = np.inf
-            d = np.sort(d.reshape(e - s, m), axis=1)
-            tau = np.minimum(tau, d[:, k - 1] ** 2 if m >= k else np.inf)
-        tau = (np.sqrt(tau) + 10.0**-DIGITS) ** 2 * (1 + SAFE) + SAFE
-        # blocks of dimensions for all pairs at once while many survive, then, compacted, for the survivors alone
-        n = 0
-        while True:
-            alive = part + (qr[n][s:e, None] - xr[n][None, :]) ** 2 <= tau[:, None]
-            n += 1
-            if n == len(cuts) or np.count_nonzero(alive) < COMPACT * alive.size:
-                break
-            c, z = cuts[n], min(cuts[n] + step, dims)
-            a, b = qc[c:z, s:e], xc[c:z]
-            part += (a**2).sum(axis=0)[:, None] - 2 * (a.T @ b) + (b**2).sum(axis=0)[None, :]
-        i, j = np.nonzero(alive)
-        acc = part[i, j]
-        for n in range(n, len(cuts)):
-            c = cuts[n]
-            for r in range(c, min(c + step, dims)):
-                acc += (qc[r, s + i] - xc[r, j]) ** 2
-            keep = acc + (qr[n][s + i] - xr[n][j]) ** 2 <= tau[i]
-            i, j, acc = i[keep], j[keep], acc[keep]
-        keep = qid[s + i] != xid[j]
-        i, j = i[keep] + s, j[keep]
-        if len(i):
-            d = distances(q[i], x[j])
-            o = np.lexsort((xid[j], d, i))
-            i, j, d = i[o], j[o], d[o]
-            # one row for each neighbour's id and query row: repeated ids are told apart later by distance
-            first = np.searchsorted(i, i)
-            keep = np.arange(len(i)) - first < k
-            out.append((i[keep], j[keep], d[keep]))
+        first = qn[0][s : s + QUERIES, None] - 2 * (qp[0][s : s + QUERIES] @ xp[0].T) + xn[0][None, :]
+        for i, acc in enumerate(first, s):
+            tau = bound[i]
+            if not np.isfinite(tau) and len(x) > k:
+                # a first bound: the distances to those that the first block of dimensions puts nearest
+                near = np.argpartition(acc, min(len(x), 2 * k + 8) - 1)[: 2 * k + 8]
+                near = near[xid[near] != qid[i]]
+                if len(near) >= k:
+                    tau = np.partition(distances(q[np.full(len(near), i)], x[near]), k - 1)[k - 1]
+            limit = (tau + 10.0**-DIGITS) ** 2 + slack * (qq[i] + xx)
+            alive = None  # all; else their places, ascending
+            for n in range(len(cuts)):
+                if n:
+                    part = xp[n] if alive is None else xp[n][alive]
+                    acc = acc + (qn[n][i] - 2 * (part @ qp[n][i]) + (xn[n] if alive is None else xn[n][alive]))
+                left = xr[n] if alive is None else xr[n][alive]
+                keep = acc + (qr[n][i] - left) ** 2 <= limit
+                if not keep.all():
+                    alive = np.flatnonzero(keep) if alive is None else alive[keep]
+                    acc, limit = acc[keep], limit[keep]
+            j = np.arange(len(x)) if alive is None else alive
+            j = j[xid[j] != qid[i]]
+            if len(j):
+                d = distances(q[np.full(len(j), i)], x[j])
+                o = np.lexsort((xid[j], d))[:k]
+                out.append((np.full(len(o), i), j[o], d[o]))
     if not out:
         e = np.zeros(0, np.int64)
         return e, e, np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def search_all(vectors: DataFrame, k: int = K, block: int = BLOCK, step: int = STEP) -> DataFrame:
-    """The ``k`` nearest other rows of every row of ``vectors`` (vec_id, embedding)."""
+def search_all(vectors: DataFrame, k: int = K, block: int = BLOCK, step: int = STEP, every: int = EVERY) -> DataFrame:
+    """The ``k`` nearest other rows of each row of ``vectors`` (vec_id, embedding) whose id is divisible by ``every``."""
     spark = attach(vectors.sparkSession)
     schema = "vec_id long, neighbour_id long, distance double, rank int"
     # single precision is shuffled as such and widened where it is used
@@ -140,19 +131,22 @@ def search_all(vectors: DataFrame, k: int = K, block: int = BLOCK, step: int = S
     rows = cut(v.withColumn("row", F.monotonically_increasing_id()).withColumn("b", F.pmod(F.xxhash64("id", "row"), F.lit(blocks)).cast("int")))
 
     def own(t: pa.Table) -> pa.Table:
-        x, ids, row = _matrix(t["v"], dims), t["id"].to_numpy(), t["row"].to_numpy()
-        i, j, d = search(ids, x, np.full(len(x), np.inf), ids, x, k, order, step)
-        full = np.bincount(i, minlength=len(x)) >= k
-        bound = np.full(len(x), np.inf)
-        np.maximum.at(b := np.full(len(x), -np.inf), i, d)
-        bound[full] = b[full]
-        return pa.table({"id": t["id"], "row": t["row"], "v": t["v"], "b": t["b"], "bound": bound})
-
-    rows = cut(rows.groupBy("b").applyInArrow(own, f"id long, row long, v {kind}, b int, bound double"))
-    # a task for each ordered pair of blocks: queries of one, candidates of the other
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asking = rows.select("*", F.lit(True).alias("asks"), F.col("b").alias("qb"), every.alias("xb"))
-    asked = rows.select("*", F.lit(False).alias("asks"), every.alias("qb"), F.col("b").alias("xb"))
+        ids = t["id"].to_numpy()
+        asks = np.flatnonzero(ids % every == 0)
+        x = _matrix(t["v"], dims)
+        i, _, d = search(ids[asks], x[asks], np.full(len(asks), np.inf), ids, x, k, order, step)
+        bound = np.full(len(asks), -np.inf)
+        np.maximum.at(bound, i, d)
+        bound[np.bincount(i, minlength=len(asks)) < k] = np.inf
+        t = t.take(pa.array(asks))
+        return pa.table({"id": t["id"], "row": t["row"], "v": t["v"], "bound": bound})
+
+    queries = cut(rows.groupBy("b").applyInArrow(own, f"id long, row long, v {kind}, bound double"))
+    tiles = max(1, -(-queries.count() // block))
+    # a task for each block of queries and each block of rows
+    every_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    asking = queries.select("*", F.lit(True).alias("asks"), F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int").alias("qb")).withColumn("xb", every_of(blocks))
+    asked = rows.select("id", "row", "v", F.lit(None).cast("double").alias("bound"), F.lit(False).alias("asks"), every_of(tiles).alias("qb"), F.col("b").alias("xb"))
 
     def pair(t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy(zero_copy_only=False)
@@ -170,9 +164,9 @@ def search_all(vectors: DataFrame, k: int = K, block: int = BLOCK, step: int = S
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(F.col("id").alias("vec_id"), F.col("other").alias("neighbour_id"), F.col("d").alias("distance"), "rank")
 
 
-def sql(k: int = K) -> str:
+def sql(k: int = K, every: int = EVERY) -> str:
     return f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
- d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_distance(a.v, b.v), {DIGITS}) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+ d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_distance(a.v, b.v), {DIGITS}) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS INT) AS rank FROM d)
 SELECT vec_id, neighbour_id, distance, rank FROM r WHERE rank <= {k}"""

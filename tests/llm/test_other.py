@@ -85,16 +85,31 @@ def test_topk_matches_brute_force(spark, n, dims, k, block):
     x[n // 2] = x[0]  # ties
     x[n // 3 : n // 3 + 3] = 0
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    out = sorted((r.vec_id, r.neighbour_id, r.distance, r["rank"]) for r in topk.search_all(d, k, block).collect())
+    out = sorted((r.vec_id, r.neighbour_id, r.distance, r["rank"]) for r in topk.search_all(d, k, block, every=1).collect())
     assert out == _brute(list(range(n)), x, k)
+    some = sorted((r.vec_id, r.neighbour_id, r.distance, r["rank"]) for r in topk.search_all(d, k, block, every=7).collect())
+    assert some == [r for r in out if r[0] % 7 == 0]
 
 
 def test_topk_defined_cases(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 0.0]), (6, [None, 1.0]), (None, [0.0, 1.0]), (7, []), (8, [3.0, 4.0]), (2, [1.0, 0.0])]
     d = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, rank int, b int")
-    out = got(topk.search_all(d, 2))
+    out = got(topk.search_all(d, 2, every=1))
     assert out == sorted([(1, 2, 1.0, 1), (1, 2, 1.0, 2), (2, 1, 1.0, 1), (2, 8, 4.472136, 2), (2, 1, 1.0, 1), (2, 8, 4.472136, 2), (8, 2, 4.472136, 1), (8, 2, 4.472136, 2)], key=repr)
-    assert got(topk.search_all(d.limit(0))) == []
+    assert got(topk.search_all(d.limit(0))) == [] == got(topk.search_all(d, every=50))
+
+
+@given(st.integers(0, 10**6), st.sampled_from([1.0, 1e4, 1e-4]), st.integers(1, 20), st.integers(1, 6))
+@settings(max_examples=60, deadline=None)
+def test_search_loses_no_copy_at_any_norm(seed, scale, dims, step):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(3, dims)) * scale + scale
+    x = np.concatenate([base] * 6 + [rng.normal(size=(20, dims)) * scale])
+    ids = np.arange(len(x))
+    i, j, d = topk.search(ids, x, np.full(len(x), np.inf), ids, x, 4, np.arange(dims), step)
+    for q in range(len(x)):
+        want = sorted((topk.distances(x[q : q + 1], x[[o]])[0], o) for o in ids if o != q)[:4]
+        assert list(zip(d[i == q], j[i == q])) == want
 
 
 # -- licenses --------------------------------------------------------------------------------------------------------
