@@ -1,11 +1,13 @@
 """Benchmark decontamination (op 8): one Aho-Corasick automaton over normalised test questions and answers.
 
 Normalised: lower case, every run of characters that are neither letters nor digits is one space. The patterns are all
-windows of ``window`` words of the benchmark's texts (a text of ``min_words`` to ``window`` words is one pattern, a shorter
-one would match by chance and is left out), so whole and partial leaks are both met. Each text is scanned once; hits of one
-item that overlap or touch are one span, and only texts with hits pay for the way back to offsets in the original.
+windows of ``window`` words of the benchmark's texts (a shorter text is one pattern, whole), so whole and partial leaks are both met. The automaton's symbols
+are words, by their number in the benchmark's vocabulary, so matches begin and end with words, and it has a node for a word instead of one for a character.
+Each text is scanned once; hits of one item that overlap or touch are one span, and only texts with hits pay for the way back to offsets in the original.
 
-Defined cases: null or empty texts have no hits; null or empty items give no patterns; items that share a window are both reported;
+``find`` reports every item, however short. ``drop`` goes by items of at least ``min_words`` words: an answer such as "four" is in texts that have nothing to do with it.
+
+Defined cases: null or empty texts have no hits; null or empty items, or those without a word, give no patterns; items that share a window are both reported;
 repeated rows are reported once each; an empty benchmark or table gives no rows; further columns are ignored.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -23,8 +26,9 @@ from grainmill.session import attach
 
 WINDOW = 13
 MIN_WORDS = 5
-#: Characters of patterns in one automaton (about 60 bytes of memory each); a larger benchmark gets one scan for each such part.
-AUTOMATON_CHARS = 4_000_000
+#: Words of patterns in an automaton that is sent to the executors (a node of some 40 bytes each at most; 600,000 words of benchmark text);
+#: a benchmark beyond that is split by items, and texts are scanned for each part.
+AUTOMATON_WORDS = 8_000_000
 
 _GAP = re.compile(r"[\W_]+")
 SCHEMA = "doc_id long, item_id long, start int, end int, matched string"
@@ -61,20 +65,20 @@ def offsets(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def patterns(items: list[tuple[int, str | None]], window: int = WINDOW, min_words: int = MIN_WORDS) -> dict[str, list[int]]:
-    """Normalised windows and the items that hold them."""
-    out: dict[str, set[int]] = {}
+def patterns(items: list[tuple[int, str | None]], window: int = WINDOW, min_words: int = 1) -> dict[tuple[str, ...], list[int]]:
+    """Windows of words and the items that hold them."""
+    out: dict[tuple[str, ...], set[int]] = {}
     for item, text in items:
         words = normalise(text or "").split()
-        if len(words) < min_words:
+        if len(words) < max(1, min_words):
             continue
         for i in range(max(1, len(words) - window + 1)):
-            out.setdefault(f" {' '.join(words[i : i + window])} ", set()).add(item)
+            out.setdefault(tuple(words[i : i + window]), set()).add(item)
     return {k: sorted(v) for k, v in out.items()}
 
 
-def parts(items: list[tuple[int, str | None]], window: int, min_words: int, limit: int) -> list[list[tuple[str, list[int]]]]:
-    """Patterns in parts of about ``limit`` characters. All windows of an item are in one part, so its spans come out whole."""
+def parts(items: list[tuple[int, str | None]], window: int, min_words: int, limit: int) -> list[list[tuple[tuple[str, ...], list[int]]]]:
+    """Patterns in parts of about ``limit`` words. All windows of an item are in one part, so its spans come out whole."""
     out, mine, size = [], [], 0
     for item in sorted(items, key=lambda x: (x[0], x[1] or "")):
         grown = sum(map(len, patterns([item], window, min_words)))
@@ -86,30 +90,35 @@ def parts(items: list[tuple[int, str | None]], window: int, min_words: int, limi
     return [list(x.items()) for x in (patterns(p, window, min_words) for p in [*out, mine]) if x]
 
 
-def _automaton(shared) -> ahocorasick.Automaton:
+class Matcher:
+    """The vocabulary of the patterns (0: any other word) and the automaton over its numbers."""
+
+    def __init__(self, known: list[tuple[tuple[str, ...], list[int]]]) -> None:
+        self.vocab: dict[str, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for words, items in known:
+            self.automaton.add_word(tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words), (len(words), items))
+        self.automaton.make_automaton()
+
+    def places(self, text: str) -> list[tuple[int, int, list[int]]]:
+        """First word, end and items of each window found, by their ends."""
+        words = tuple(map(self.vocab.get, _GAP.sub(" ", text.lower()).split(), repeat(0)))
+        return [(end + 1 - n, end + 1, items) for end, (n, items) in self.automaton.iter(words)] if words and self.vocab else []
+
+
+def _matcher(shared) -> Matcher:
     key = getattr(shared, "_jbroadcast_id", id(shared))
     if key not in _cache:
         _cache.clear()
-        a = ahocorasick.Automaton()
-        for k, v in shared.value:
-            a.add_word(k, (k.count(" ") - 1, v))
-        a.make_automaton()
-        _cache[key] = (a, shared)
+        _cache[key] = (Matcher(shared.value), shared)
     return _cache[key][0]
 
 
-def hits(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, int]]:
+def hits(m: Matcher, text: str) -> list[tuple[int, int, int]]:
     """(item, start, end) in the original text, hits of an item that overlap or touch joined."""
-    norm = normalise(text)
-    found = [(end, n, items) for end, (n, items) in a.iter(norm)]
-    if not found:
+    words = m.places(text)
+    if not words:
         return []
-    # the number of the word that ends before each hit's closing space
-    words, at, k = [], 0, 0
-    for end, n, items in found:
-        k += norm.count(" ", at, end)
-        at = end
-        words.append((k - n, k, items))
     where = offsets(text)
     by: dict[int, list[list[int]]] = {}
     for lo, hi, items in words:
@@ -123,29 +132,29 @@ def hits(a: ahocorasick.Automaton, text: str) -> list[tuple[int, int, int]]:
     return [(item, where[lo][0], where[hi - 1][1]) for item, runs in sorted(by.items()) for lo, hi in runs]
 
 
-def _shared(docs: DataFrame, benchmark: DataFrame, window: int, min_words: int, automaton_chars: int) -> list:
+def _shared(docs: DataFrame, benchmark: DataFrame, window: int, min_words: int, automaton_words: int) -> list:
     sc = attach(docs.sparkSession).sparkContext
     items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL").toLocalIterator()]
-    return [sc.broadcast(p) for p in parts(items, window, min_words, automaton_chars)]
+    return [sc.broadcast(p) for p in parts(items, window, min_words, automaton_words)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = 1, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """Every passage of ``docs`` that is in ``benchmark``: doc_id, item_id, start, end (characters of the original), matched.
 
-    No shuffle. The patterns are sent to the executors in parts of ``automaton_chars``; usually there is one.
+    No shuffle. The patterns are sent to the executors in parts of ``automaton_words``; usually there is one.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-    for shared in _shared(docs, benchmark, window, min_words, automaton_chars):
+    for shared in _shared(docs, benchmark, window, min_words, automaton_words):
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = _automaton(shared)
+            m = _matcher(shared)
             for b in batches:
                 rows = []
                 for doc, text in zip(b.column(0), b.column(1)):
                     text = text.as_py()
-                    rows += [(doc.as_py(), item, lo, hi, text[lo:hi]) for item, lo, hi in hits(a, text)]
+                    rows += [(doc.as_py(), item, lo, hi, text[lo:hi]) for item, lo, hi in hits(m, text)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "item_id", "start", "end", "matched"])
 
@@ -153,15 +162,15 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words:
     return out
 
 
-def drop(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+def drop(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """The documents that hold no passage of the benchmark, all columns as they were. One scan, row by row: ids don't matter."""
     at = docs.columns.index("text")
-    for shared in _shared(docs, benchmark, window, min_words, automaton_chars):
+    for shared in _shared(docs, benchmark, window, min_words, automaton_words):
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = _automaton(shared)
+            m = _matcher(shared)
             for b in batches:
-                yield b.filter(pa.array([not hits(a, t.as_py() or "") for t in b.column(at)], pa.bool_()))
+                yield b.filter(pa.array([not hits(m, t.as_py() or "") for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -54,9 +54,13 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, default_weight:
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.col("text"), F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     whole = F.floor("_rate")
-    times = (whole + F.when(F.col("_draw") < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
+    times = whole + F.when(F.col("_draw") < F.col("_rate") - whole, 1).otherwise(0)
     joined = tx.packed(docs.select(*cols), _from=F.col("source"), _draw=draw).join(small(r, 100_000), F.col("_from").eqNullSafe(F.col("_source")))
-    copies = joined.withColumn("_n", times).where("_n > 0").select("_row", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    # copies in runs of runs, so that no row holds a long list whatever the rate
+    copies = joined.withColumn("copy", F.lit(0).cast("long")).withColumn("_end", times).where("_end > 0")
+    for step in (1 << 32, 1 << 16, 1):
+        end = F.least(F.col("copy") + F.lit(step).cast("long"), F.col("_end"))
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.col("copy"), F.col("_end") - 1, F.lit(step).cast("long")))).withColumn("_end", end)
     return tx.unpacked(copies, cols, copy=F.col("copy"))
 
 
@@ -71,5 +75,5 @@ WITH s AS (SELECT source AS ms, CAST(sum(coalesce(len(regexp_extract_all(text, '
  r AS (SELECT ms, CASE WHEN tokens > 0 THEN (w * tt) / (ww * tokens) WHEN w > 0 THEN 1.0 ELSE 0.0 END AS rate FROM s, t),
  d AS (SELECT {table}.*, rate, CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
        FROM {table} JOIN r ON source IS NOT DISTINCT FROM ms),
- n AS (SELECT *, CAST(floor(rate) AS INT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS times FROM d)
-SELECT {columns}, CAST(unnest(range(times)) AS INT) AS copy FROM n"""
+ n AS (SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS times FROM d)
+SELECT {columns}, unnest(range(CAST(times AS BIGINT))) AS copy FROM n"""

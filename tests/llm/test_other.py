@@ -197,7 +197,9 @@ def test_mix_meets_its_targets(spark):
     out = mixing.mix(d, {"a": 1, "b": 1})
     n = {r[0]: r[1] for r in out.groupBy("source").count().collect()}
     assert n["a"] == pytest.approx(1500, rel=0.08) and n["b"] == 1500  # rate 5 exactly: no draw
-    extra = docs(spark, [(1, "x y")], ("_source", "_rate", "copy", "_row", "_n"))
+    many = mixing.mix(docs(spark, [(1, "x y")]), budget=400_001).select("copy")  # a rate of 200,000.5
+    assert sorted(r.copy for r in many.collect()) in ([*range(200_000)], [*range(200_001)])
+    extra = docs(spark, [(1, "x y")], ("_source", "_rate", "copy", "_row", "_n", "_end"))
     assert sorted(mixing.mix(extra).columns) == sorted(extra.columns)
     assert got(mixing.mix(d.limit(0))) == []
 

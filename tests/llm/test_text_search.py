@@ -96,7 +96,7 @@ def _naive(items, text, window, least):
     out = []
     for item, t in items:
         p = decontam.normalise(t or "").split()
-        if len(p) < least:
+        if len(p) < max(1, least):
             continue
         grams = {tuple(p[i : i + window]) for i in range(max(1, len(p) - window + 1))}
         runs = []
@@ -114,21 +114,14 @@ def _naive(items, text, window, least):
 @given(st.lists(st.text("ab cİß.", max_size=30), max_size=4), st.text("ab cİß.", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_hits_match_naive_search(items, text):
-    import ahocorasick
-
     items = list(enumerate(items))
-    pats = decontam.patterns(items, 3, 2)
-    a = ahocorasick.Automaton()
-    for k, v in pats.items():
-        a.add_word(k, (k.count(" ") - 1, v))
-    if not pats:
-        return
-    a.make_automaton()
-    assert sorted(decontam.hits(a, text)) == _naive(items, text, 3, 2)
-
-
-@pytest.mark.parametrize("chars", [decontam.AUTOMATON_CHARS, 200])
-def test_decontamination(spark, chars):
+    for least in (1, 2):
+        m = decontam.Matcher(list(decontam.patterns(items, 3, least).items()))
+        assert sorted(decontam.hits(m, text)) == _naive(items, text, 3, least)
+
+
+@pytest.mark.parametrize("words", [decontam.AUTOMATON_WORDS, 40])
+def test_decontamination(spark, words):
     items = [(i, prose(RNG, 30)) for i in range(6)] + [(6, None), (7, ""), (8, "too short"), (9, "just these seven words make a pattern")]
     part = " ".join(items[0][1].split()[5:25])
     rows = [
@@ -136,13 +129,17 @@ def test_decontamination(spark, chars):
         (7, " ".join(items[2][1].split()[:12])), (2, f"x {part} y"), (8, prose(RNG, 20_000) + " " + items[3][1]), (None, items[4][1]),
     ]
     d, b = docs(spark, rows, ("item_id", "start")), spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    found = decontam.find(d, b, automaton_chars=chars).collect()
+    found = decontam.find(d, b, min_words=5, automaton_words=words).collect()
     texts = {i: t for i, t in rows}
     assert all(r.matched == texts[r.doc_id][r.start : r.end] for r in found)
     assert sorted(((r.doc_id, r.item_id) for r in found), key=repr) == sorted([(1, 1), (2, 0), (2, 0), (6, 9), (8, 3), (None, 4)], key=repr)
+    # every item is looked for, at word borders; short ones don't count for drop
+    short = docs(spark, [(11, "That's TOO-short, they say"), (12, "tootoo shorts; too shorter")])
+    assert [(r.doc_id, r.item_id, r.matched) for r in decontam.find(short, b, automaton_words=words).collect()] == [(11, 8, "TOO-short")]
+    assert decontam.drop(short, b, automaton_words=words).count() == 2
     span = next(r for r in found if r.doc_id == 2)
     assert span.matched == part
-    kept = decontam.drop(d, b, automaton_chars=chars)
+    kept = decontam.drop(d, b, automaton_words=words)
     assert kept.columns == d.columns
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 7]
     assert got(decontam.find(d.limit(0), b)) == [] == got(decontam.find(d, b.limit(0)))
