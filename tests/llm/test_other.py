@@ -1,12 +1,16 @@
 """op 1, 2, 5, 10 and the pipeline."""
 
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from grainmill.llm import decontam, html, licenses, mixing, queries, simhash, suffix, topk, toxicity
@@ -31,7 +35,7 @@ def test_consensus_path_wins_over_a_page_of_its_own_mind(spark):
     pages.append((9, "https://blog.example/9", odd))
     d = spark.createDataFrame(pages, "page_id long, url string, html string")
     best = html.winners(d).collect()
-    assert [(r.host, r.path) for r in best] == [("blog.example", "html>body>div.main.post-#")]
+    assert [(r.host, r.key) for r in best] == [("blog.example", html.path_key("html>body>div.main.post-#"))]
     out = {r.page_id: r for r in html.extract_all(d).collect()}
     assert all(r.path == "html>body>div.main.post-#" for r in out.values())
     assert "short" not in out[0].text and "no" not in out[0].text.split() and "& more" in out[0].text
@@ -43,11 +47,71 @@ def test_votes_are_summed_as_by_hand(spark):
     pages = [(i, f"http://h{i % 3}.example/{i}", _page(rng, rng.randint(1, 5), rng.choice(["a", "b"]))) for i in range(40)]
     by = {}
     for _, url, page in pages:
-        for path, share in html.votes(page):
-            by.setdefault(html.host(url), {}).setdefault(path, []).append(share)
+        for path, share in _votes(page):
+            by.setdefault(url.split("/")[2], {}).setdefault(html.path_key(path), []).append(share)
     want = sorted((h, min(v, key=lambda p: (-round(sum(v[p]), 6), p))) for h, v in by.items())
     d = spark.createDataFrame(pages, "page_id long, url string, html string")
-    assert sorted((r.host, r.path) for r in html.winners(d).collect()) == want
+    assert sorted((r.host, r.key) for r in html.winners(d).collect()) == want
+
+
+class _Tree(HTMLParser):
+    """Scores by the standard library's parser, for well-formed pages: each piece of text counts for its innermost container."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.scores, self.text = [], {}, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html.VOID:
+            c = sorted(re.sub("[0-9]+", "#", x) for x in (dict(attrs).get("class") or "").split())
+            self.open.append((tag, ".".join([tag, *c]) if tag in html.CONTAINERS else tag))
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()[0] == tag
+
+    def handle_data(self, s):
+        tags = [t for t, _ in self.open]
+        if {*tags} & ({"script", "style"} | html.SKIP) or not s.strip():
+            return
+        n = max((i for i, t in enumerate(tags) if t in html.CONTAINERS), default=-1)
+        path = ">".join(x for _, x in self.open[: n + 1])
+        k = len(re.sub(r"\s+", " ", s).strip())
+        self.scores[path] = self.scores.get(path, 0) + (-k if "a" in tags else k - html.PIECE)
+        self.text.append(([x for _, x in self.open], s))
+
+
+def _votes(page):
+    t = _Tree()
+    t.feed(page)
+    good = {p: s for p, s in t.scores.items() if s > 0}
+    return [(p, round(s / sum(good.values()), 9)) for p, s in good.items()]
+
+
+def test_extraction_matches_another_parser(spark):
+    rng = random.Random(3)
+    for _ in range(30):
+        page = _page(rng, rng.randint(1, 5), rng.choice(["a", "b"]))
+        t = _Tree()
+        t.feed(page)
+        assert dict(html.votes(page)) == {html.path_key(p): v for p, v in _votes(page)}
+        for path in t.scores:
+            path, got = html.extract(page, html.path_key(path)) if path else (path, "")
+            want = " ".join(s for tags, s in t.text if ">".join(tags).startswith(path or "-"))
+            assert got.split() == want.split()
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000, "<div>x" * 100_000, '<a "' * 250_000, "<a \">" * 100_001, "<a '\">" * 100_000, "<b>" * 50_000 + "<p></p>" * 50_000, '<a ">" ' * 100_000, "<" * 1_000_000, "</b><b>" * 100_000, "<!-- <a" * 100_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.votes(page)
+    html.extract(page, 1)
+    assert time.perf_counter() - began < 8
+
+
+def test_hosts(spark):
+    urls = {"http://www.Blog.example:80/1": "blog.example", "https://u:p@a.b/x@y": "a.b", "a.b/c": "a.b", "//x.y?z": "x.y", None: None, "": "", "http://[::1]:8/": "::1", "http://[bad": "", "not a url": "not a url"}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", html.host(F.col("url")).alias("h")).collect()
+    assert {r.url: r.h for r in rows} == urls
 
 
 def test_html_defined_cases(spark):
