@@ -3,20 +3,22 @@
 Fingerprint: 128 bits over the set of distinct words (lower case, runs of letters and digits); a word shorter than
 ``LONG`` bytes weighs ``SHORT_WEIGHT``, as short words are mostly those that all texts of a language share.
 
-Search: each distinct fingerprint goes to ``BANDS`` buckets, one for each band of ``BAND_BITS`` bits that it shares exactly
-with the others there (bands overlap and lie ``128 / BANDS`` bits apart). In a bucket fingerprints are sorted by the Gray rank of their bits, rotated so
-that the band leads: neighbours in this order differ in few bits. Runs of ``GROUP`` become nodes of the first level, runs of
-``GROUP`` nodes those of the next, until ``GROUP`` are left; a node keeps a mask of the bits that all its members share and their pattern. Two
-nodes can hold a near pair only if the shared bits of both differ in at most ``h`` places, so whole pairs of groups are pruned by
+Search, exact: all pairs of distinct fingerprints that differ in at most ``h`` bits. The bits are ``BLOCKS`` blocks of 16, and block i
+has a limit t_i such that the sum of all t_i + 1 is h + 1: so a near pair differs in at most t_i bits of some block i, and is equal in one of t_i + 1 pieces of that block.
+Each fingerprint goes to the bucket of each of its h + 1 pieces. In a bucket fingerprints are sorted by the Gray rank of their bits, rotated so
+that the block leads: neighbours in this order differ in few bits. Runs of ``GROUP`` become nodes of the first level, runs of
+``FAN`` nodes those of the next, until few are left; a node keeps a mask of the bits that all its members share and their pattern. Two
+nodes can hold a near pair only if the shared bits of both differ in at most ``h`` places, and in at most t_i of the block, so whole pairs of groups are pruned by
 the differences accumulated there, from the top down; members are compared word by word, the second half only where the differences so far allow.
-Within a bucket the search is exact; a pair at distance d is missed only if no band is equal (at d = 16 about 4 % are).
+A pair counts in the first block and piece that it meets in, so once. Buckets of more than ``BUCKET_ROWS`` are dealt into chunks, and each pair of chunks
+is a task: no bucket has to fit into one, however many fingerprints or however alike they are.
 
 Groups: the pairs' connected components, from a spanning forest per bucket (so that thousands of copies don't make millions
-of edges), by repeated minimum over neighbours and pointer jumping. One row of each group stays: that of the lowest doc_id.
+of edges), by repeated minimum over neighbours and pointer jumping. Pairs are counted where they are found and never sent. One row of each group stays: that of the lowest doc_id.
 
 Defined cases: a null text, or one without a word, has no fingerprint, is never a copy and always stays; so does a row with a null doc_id;
 equal fingerprints are one group; rows that repeat a doc_id are one document for ``groups``, and ``dedup`` keeps one row
-of it, the lowest by (text, other columns); an empty table gives an empty result; other columns are carried along untouched.
+of it, the lowest by (text, other columns); an empty table gives an empty result; other columns are carried along untouched; doc_id has to be an integer.
 """
 
 from __future__ import annotations
@@ -34,15 +36,13 @@ from grainmill.llm import text as tx
 from grainmill.session import attach, cut, small
 
 H = 24
-BANDS = 16
-BAND_BITS = 12
-GROUP = 16
+BLOCKS = 8
+GROUP = 8
+FAN = 16
 LONG = 5
 SHORT_WEIGHT = 0.25
-#: Buckets of up to 2**BUNDLE_BITS neighbouring values are one group of the shuffle, as a group costs about a millisecond; fewer
-#: where a group would else have more than about GROUP_ROWS rows. Results don't depend on it.
-BUNDLE_BITS = 6
-GROUP_ROWS = 200_000
+#: Fingerprints in a chunk of a bucket (32 bytes each, several times over while they are sorted).
+BUCKET_ROWS = 2_000_000
 _U = np.uint64
 
 
@@ -123,8 +123,8 @@ def _cross(a: np.ndarray, b: np.ndarray, edge: np.ndarray, limit: int = 1 << 20)
         s = e
 
 
-def near_pairs(x: np.ndarray, starts: np.ndarray, h: int, group: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows (i < j) of one run that differ in at most ``h`` bits.
+def near_pairs(x: np.ndarray, starts: np.ndarray, h: int, group: int = GROUP, lead: int = 0, within: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows (i < j) of one run that differ in at most ``h`` bits, and of the first ``lead`` bits in at most ``within``.
 
     x: (n, 2) uint64 in Gray order within each run; starts: where the runs begin. Yields index arrays.
     """
@@ -134,24 +134,30 @@ def near_pairs(x: np.ndarray, starts: np.ndarray, h: int, group: int = GROUP) ->
     cuts = _cuts(starts, n, group)
     levels = [(*_nodes(x, ~x, cuts), np.append(cuts, n))]  # shared ones, shared zeros, where the children begin
     first = np.searchsorted(cuts, starts)
-    fan = max(2, group)
-    while np.diff(np.append(first, len(cuts))).max() > fan:
+    while np.diff(np.append(first, len(cuts))).max() > FAN:
         o, z, _ = levels[-1]
-        up = _cuts(first, len(cuts), fan)
+        up = _cuts(first, len(cuts), FAN)
         levels.append((*_nodes(o, z, up), np.append(up, len(cuts))))
         first, cuts = np.searchsorted(up, first), up
+    drop = _U(64 - lead) if lead else None
 
     def descend(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         o, z, edge = levels[level]
-        k = np.bitwise_count((o[i] & z[j]) | (z[i] & o[j])).sum(axis=1) <= h
+        u = (o[i, 0] & z[j, 0]) | (z[i, 0] & o[j, 0])
+        k = np.bitwise_count(u) + np.bitwise_count((o[i, 1] & z[j, 1]) | (z[i, 1] & o[j, 1])) <= h
+        if lead:
+            k &= np.bitwise_count(u >> drop) <= within
         for a, b in _cross(i[k], j[k], edge):
             if level:
                 yield from descend(level - 1, a, b)
                 continue
             k = a < b
             a, b = a[k], b[k]
-            d = np.bitwise_count(x[a, 0] ^ x[b, 0])
+            u = x[a, 0] ^ x[b, 0]
+            d = np.bitwise_count(u)
             k = d <= h
+            if lead:
+                k &= np.bitwise_count(u >> drop) <= within
             a, b, d = a[k], b[k], d[k]
             k = d + np.bitwise_count(x[a, 1] ^ x[b, 1]) <= h
             if k.any():
@@ -190,19 +196,50 @@ class _Forest:
                 self.edges.append((i, j))
 
 
-def _bucket_edges(table: pa.Table, h: int, group: int) -> pa.Table:
-    ids, value = table["id"].to_numpy(), table["value"].to_numpy()
-    by = int(table["band"][0].as_py()) * (128 // BANDS)
-    hi, lo = (table[c].to_numpy().view(_U) for c in ("hi", "lo"))
-    h1, l1 = _rotate(hi, lo, by)
-    order = np.lexsort((gray_rank(l1), gray_rank(h1), value))
-    x, ids, value = np.stack([h1[order], l1[order]], axis=1), ids[order], value[order]
-    starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-    forest = _Forest(len(ids))
-    for a, b in near_pairs(x, starts, h, group):
+def pieces(h: int) -> list[tuple[int, int, int, int]]:
+    """(block, limit of the block, first bit in the block, bits) of each piece; near pairs agree in one whose block is within its limit."""
+    out = []
+    for b in range(BLOCKS):
+        n = (h + 1) // BLOCKS + (b < (h + 1) % BLOCKS)  # the limit + 1
+        edge = [16 * i // n for i in range(n + 1)] if n else []
+        out += [(b, n - 1, x, y - x) for x, y in zip(edge, edge[1:])]
+    return out
+
+
+def _earlier(u: np.ndarray, k: int, h: int) -> np.ndarray:
+    """Whether pairs with the differences ``u`` (n, 2) meet in a piece before ``k``."""
+    out = np.zeros(len(u), bool)
+    for b, limit, at, bits in pieces(h)[:k]:
+        block = (u[:, b // 4] >> _U(48 - 16 * (b % 4))) & _U(0xFFFF)
+        out |= (np.bitwise_count(block) <= limit) & ((block >> _U(16 - at - bits)) & _U((1 << bits) - 1) == 0)
+    return out
+
+
+def _bucket(table: pa.Table, h: int, group: int) -> pa.Table:
+    """Of one bucket, or of a pair of its chunks: a spanning forest (a, b; links null), and the links of each fingerprint (a; b null)."""
+    k, one, two = (int(table[c][0].as_py()) for c in ("piece", "one", "two"))
+    block, limit, _, _ = pieces(h)[k]
+    ids, many = table["id"].to_numpy(), table["n"].to_numpy()
+    x = np.stack([table[c].to_numpy().view(_U) for c in ("hi", "lo")], axis=1)
+    r = np.stack(_rotate(x[:, 0], x[:, 1], 16 * block), axis=1)
+    order = np.lexsort((gray_rank(r[:, 1]), gray_rank(r[:, 0])))
+    x, r, ids, many, mine = x[order], r[order], ids[order], many[order], table["own"].to_numpy()[order]
+    forest, links = _Forest(len(ids)), np.zeros(len(ids), np.int64)
+    for a, b in near_pairs(r, np.zeros(1, np.int64), h, group, 16, limit):
+        ok = ~_earlier(x[a] ^ x[b], k, h) & (ids[a] != ids[b])
+        if one != two:
+            ok &= mine[a] != mine[b]
+        a, b = a[ok], b[ok]
+        np.add.at(links, a, many[b])
+        np.add.at(links, b, many[a])
         forest.join(a, b)
     e = np.array(forest.edges, np.int64).reshape(-1, 2)
-    return pa.table({"a": ids[e[:, 0]], "b": ids[e[:, 1]]})
+    has = np.flatnonzero(links)
+    return pa.table({
+        "a": np.concatenate([ids[e[:, 0]], ids[has]]),
+        "b": pa.array(np.concatenate([ids[e[:, 1]], ids[has]]), mask=np.arange(len(e) + len(has)) >= len(e)),
+        "links": pa.array(np.concatenate([np.zeros(len(e), np.int64), links[has]]), mask=np.arange(len(e) + len(has)) < len(e)),
+    })
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
@@ -216,27 +253,27 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, hi long, lo long")
 
 
-def edges(points: DataFrame, h: int = H, group: int = GROUP) -> DataFrame:
-    """A spanning forest, bucket by bucket, of the pairs of ``points`` (id, hi, lo; distinct) at distance of at most ``h``: a, b."""
-    step = 128 // BANDS
-    per_value = max(1, points.count() >> BAND_BITS)
-    bundle = min(BUNDLE_BITS, max(1, GROUP_ROWS // per_value).bit_length() - 1)
+def near(points: DataFrame, h: int = H, group: int = GROUP) -> DataFrame:
+    """Of all pairs of ``points`` (id, hi, lo; n documents each) at a distance of at most ``h``: edges ``a, b`` of spanning forests, and ``a, links`` to add up.
 
-    def band(i: int):
-        # bits by..by+11 of 128, in JVM arithmetic on the two halves
-        by = i * step
-        if by + BAND_BITS <= 64:
-            x = F.shiftrightunsigned("hi", 64 - by - BAND_BITS)
-        elif by >= 64 and by + BAND_BITS <= 128:
-            x = F.shiftrightunsigned("lo", 128 - by - BAND_BITS)
-        else:
-            first, second = ("hi", "lo") if by < 64 else ("lo", "hi")
-            over = (by % 64) + BAND_BITS - 64
-            x = F.shiftleft(F.col(first), over).bitwiseOR(F.shiftrightunsigned(second, 64 - over))
-        return F.struct(F.lit(i).alias("band"), x.bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("value"))
-
-    routed = points.select("id", "hi", "lo", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("k")).select("id", "hi", "lo", "k.band", "k.value")
-    return routed.groupBy("band", F.shiftright("value", bundle)).applyInArrow(lambda t: _bucket_edges(t, h, group), "a long, b long")
+    Shuffled: a row of 40 bytes for each point and piece; a point of a bucket with c chunks is in c tasks.
+    """
+    places = []
+    for k, (b, _, at, bits) in enumerate(pieces(h)):
+        value = F.shiftrightunsigned("hi" if b < 4 else "lo", 64 - 16 * (b % 4) - at - bits).bitwiseAND(F.lit((1 << bits) - 1))
+        places.append(F.struct(F.lit(k).alias("piece"), value.cast("int").alias("value")))
+    routed = points.select("id", "hi", "lo", "n", F.explode(F.array(*places)).alias("k")).select("id", "hi", "lo", "n", "k.piece", "k.value")
+    # how many chunks a bucket has; there are at most 25 * 2**16 buckets, however many points, and only the large ones are listed
+    large = routed.groupBy("piece", "value").count().where(F.col("count") > BUCKET_ROWS).collect() if points.count() > BUCKET_ROWS else []
+    chunks = F.lit(1)
+    if large:
+        listed = F.create_map(*[F.lit(y) for r in large for y in (f"{r[0]}:{r[1]}", -(-r[2] // BUCKET_ROWS))])
+        chunks = F.coalesce(F.try_element_at(listed, F.concat_ws(":", "piece", "value")), F.lit(1))
+    routed = routed.withColumn("c", chunks).withColumn("own", F.pmod(F.xxhash64("hi", "lo"), F.col("c")).cast("int"))
+    routed = routed.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")).select(
+        "id", "hi", "lo", "n", "piece", "value", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+    )
+    return routed.groupBy("piece", "value", "one", "two").applyInArrow(lambda t: _bucket(t, h, group), "a long, b long, links long")
 
 
 def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -256,17 +293,20 @@ def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def groups(docs: DataFrame, h: int = H) -> DataFrame:
-    """``doc_id, group_id`` for each document that has a near copy; group_id is the doc_id that stays.
+    """``doc_id, group_id, links`` for each document that has a near copy: group_id is the doc_id that stays, links the number of its near copies.
 
-    Shuffled: 24 bytes a document for equal fingerprints, then about 24 bytes a distinct fingerprint and band. Texts are never shuffled.
+    Shuffled: 24 bytes a document for equal fingerprints, then about 40 bytes a distinct fingerprint and piece. Texts are never shuffled.
     """
     attach(docs.sparkSession)
-    prints = cut(_sketch(docs))
-    points = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    points = cut(points)
-    root = components(edges(points, h))
-    same = points.join(root, "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("group_id"), (F.col("root").isNotNull() | (F.col("n") > 1)).alias("copied"))
-    return prints.join(same.where("copied").drop("copied"), ["hi", "lo"]).select("doc_id", "group_id").distinct()
+    prints = cut(_sketch(docs).distinct())
+    points = cut(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    found = cut(near(points, h))
+    root = components(found.where("b IS NOT NULL").select("a", "b"))
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("more"))
+    same = points.join(root.join(links, "id"), "id", "left").where("root IS NOT NULL OR n > 1")
+    same = same.select("hi", "lo", F.coalesce("root", "id").alias("group_id"), (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("links"))
+    # a doc_id with several texts is one document with the links of all
+    return prints.join(same, ["hi", "lo"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))
 
 
 def dedup(docs: DataFrame, h: int = H) -> DataFrame:

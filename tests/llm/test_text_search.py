@@ -30,6 +30,17 @@ def test_near_pairs_is_exact(values, h, group, rnd):
     assert len(found) == len(want)
 
 
+@given(st.integers(0, 2**32), st.integers(0, 40))
+@settings(max_examples=100, deadline=None)
+def test_near_pairs_meet_in_a_piece(seed, h):
+    rng = np.random.default_rng(seed)
+    bits = rng.permuted(np.arange(128)[None, :].repeat(50, 0) < h, axis=1)
+    u = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
+    assert len(simhash.pieces(h)) == h + 1
+    assert simhash._earlier(u, h + 1, h).all()
+    assert not simhash._earlier(u, 0, h).any()
+
+
 def test_gray_rank_inverts_gray_code():
     n = np.arange(1000, dtype=np.uint64)
     assert (simhash.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
@@ -42,7 +53,9 @@ def _near(rng, text, share):
     return " ".join(w)
 
 
-def test_recall_against_all_pairs(spark):
+@pytest.mark.parametrize("bucket", [simhash.BUCKET_ROWS, 7])
+def test_recall_against_all_pairs(spark, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket)
     rng = random.Random(2)
     rows, n = [], 0
     for _ in range(60):
@@ -56,7 +69,9 @@ def test_recall_against_all_pairs(spark):
     group = {r.doc_id: r.group_id for r in simhash.groups(docs(spark, rows)).collect()}
     hit = sum(i in group and group.get(i) == group.get(j) for i, j in pairs)
     assert len(pairs) > 200
-    assert hit >= 0.95 * len(pairs)
+    assert hit == len(pairs)
+    links = {r.doc_id: r.links for r in simhash.groups(docs(spark, rows)).collect()}
+    assert links == {i: c for i in range(n) if (c := sum(i in p for p in pairs))}
     by = {}
     for d, g in group.items():
         by.setdefault(g, set()).add(d // 4)
@@ -70,7 +85,7 @@ def test_simhash_defined_cases(spark):
     rows = [(1, same), (2, same), (3, None), (4, ""), (5, "  ,. "), (None, same), (7, prose(RNG, 50)), (2, same), (9, same.upper()), (10, prose(RNG, 30_000))]
     extra = ("_gone", "group_id", "_key", "_row")
     d = docs(spark, rows, extra)
-    assert got(simhash.groups(d)) == [(1, 1), (2, 1), (9, 1)]
+    assert got(simhash.groups(d)) == [(1, 1, 2), (2, 1, 2), (9, 1, 2)]
     out = simhash.dedup(d)
     assert out.columns == d.columns
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([1, 3, 4, 5, None, 7, 10], key=repr)
