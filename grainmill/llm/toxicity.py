@@ -2,17 +2,19 @@
 
 Categories are predicted one after the other by logistic models; the model of each sees, besides the words, the probabilities
 of the categories before it. In training these come out of fold: they are given by models that haven't seen the row, so later links learn from
-probabilities as they are on new texts. The labels have one category, ``toxic``; it is the last link. The finer ones before it
-are labelled weakly: a toxic row that has a word of the category's seed list.
+probabilities as they are on new texts. The categories are the columns of the labels, ``toxic`` last. (The given labels have ``quality`` besides, so the chain has
+two links; labels with finer categories make a longer one.)
 
 Features: whether a text has each of ``features`` words or stems (words in lower case, runs of letters and digits; stems are the first 4, 5
-and 6 bytes of longer words), those with the largest chi-square
-against ``toxic`` in the sample, if at least ``MIN_CHI``. The sample is bounded: at most ``max_rows`` labelled rows of either class, those with the least hash of
-doc_id. Intercepts are moved to classes that are equally frequent, so probabilities don't depend on how many labels are toxic or were sampled. Scoring reads every text whole and needs no shuffle.
-
-Defined cases: a null or empty text has no words and gets the probabilities of that; labels with a null doc_id or null class are left
-out; a doc_id labelled twice is toxic if any label says so; labels without either class make a model that finds nothing toxic (all
-probabilities 0); repeated rows are scored alike; columns of the input that are called as ours are replaced.
+and 6 bytes of longer words), those with the largest chi-square against ``toxic`` in the sample, if at least ``MIN_CHI``: the others can't be told from chance in a sample
+of this size. The sample is bounded: at most ``max_rows`` labelled rows of either class, those with the least hash of
+doc_id. Its words are counted in Spark, and the driver gets a row of ``features`` bits for each sampled text. Intercepts are moved to classes that are equally frequent, so probabilities don't depend on how many labels
+are toxic or were sampled. The threshold comes from the sample's out-of-fold probabilities: the middle of those thresholds that part the classes best.
+Scoring reads every text whole and needs no shuffle.
+
+Defined cases: a null or empty text has no words and gets the probabilities of that; labels with a null doc_id or null ``toxic`` are left
+out, a null in another category counts as no; a doc_id labelled twice has a category if any label says so; one with several texts in the sample is a row for each; labels without either class make a model that finds nothing
+toxic (all probabilities 0); repeated rows are scored alike; columns of the input that are called as ours are replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ from pyspark.sql import types as T
 
 from grainmill.llm import linear
 from grainmill.llm import text as tx
-from grainmill.session import attach
+from grainmill.session import attach, cut
 
-SEEDS = {"insult": ("idiot", "moron", "stupid", "loser", "clown"), "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting")}
 LAST = "toxic"
 MAX_ROWS = 3000
 FEATURES = 256
@@ -39,7 +40,6 @@ STEMS = (4, 5, 6)
 #: Features with a lower chi-square are noise, mostly (of 100,000 words that mean nothing some ten get there).
 MIN_CHI = 15.0
 FOLDS = 5
-THRESHOLD = 0.3
 _U = np.uint64
 
 
@@ -48,6 +48,7 @@ class Chain:
     """Sorted word hashes and, for each category in turn, weights of words, weights of earlier probabilities, intercept."""
 
     names: list[str]
+    threshold: float = 1.0
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))
     links: list[tuple[np.ndarray, np.ndarray, float]] = field(default_factory=list)
 
@@ -90,36 +91,28 @@ def presence(column, words: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(lists: list[np.ndarray], toxic: np.ndarray, features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """A chain from the word lists of a sample."""
-    names = [*SEEDS, LAST]
-    y = np.asarray(toxic) > 0
+def _part(p: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the thresholds at which the shares of rows of either class on the wrong side sum to the least."""
+    order = np.argsort(p, kind="stable")
+    p, y = p[order], y[order]
+    # wrong where the first k rows count as clean
+    wrong = np.append(0, np.cumsum(y)) / y.sum() + (1 - np.append(0, np.cumsum(~y)) / (~y).sum())
+    edge = np.concatenate([[0.0], p, [1.0]])
+    wrong[(edge[1:] <= edge[:-1])] = np.inf  # no threshold parts equal probabilities
+    k = int(wrong.argmin())
+    return float((edge[k] + edge[k + 1]) / 2)
+
+
+def fit(x: np.ndarray, labels: dict[str, np.ndarray], words: np.ndarray, folds: int = FOLDS) -> Chain:
+    """A chain from the features (a column for each of the sorted ``words``) and categories of a sample, ``toxic`` last."""
+    y = np.asarray(labels[LAST], bool)
     if not len(y) or y.all() or not y.any():
-        return Chain(names)
-    words, inv = np.unique(np.concatenate(lists), return_inverse=True)
-    row = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-    n1 = np.bincount(inv[y[row]], minlength=len(words)).astype(float)
-    n0 = np.bincount(inv[~y[row]], minlength=len(words)).astype(float)
-    p, q = y.sum(), (~y).sum()
-    got = n1 + n0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (n1 * (q - n0) - n0 * (p - n1)) ** 2 * (p + q) / (got * (p + q - got) * p * q)
-    chi[~np.isfinite(chi) | (got < 5) | (chi < MIN_CHI)] = 0
-    keep = np.sort(np.lexsort((words, -chi))[:features])
-    keep = keep[chi[keep] > 0]
-    words = words[keep]
-    place = np.full(len(got), -1)
-    place[keep] = np.arange(len(keep))
-    x = np.zeros((len(lists), len(words)), np.float32)
-    k = place[inv] >= 0
-    x[row[k], place[inv][k]] = 1
-    has = {n: np.array([np.isin(tx.hash_words(list(s)), v).any() for v in lists]) for n, s in SEEDS.items()}
+        return Chain([*labels])
     fold = np.arange(len(y)) % folds
-    chain, oof = Chain(names, words), np.zeros((len(y), 0), np.float32)
-    shift = float(np.log((~y).sum() / y.sum()))
-    for name in names:
-        target = y & has[name] if name in has else y
-        z = np.hstack([x, oof])
+    chain, oof = Chain([*labels], words=words), np.zeros((len(y), 0), np.float32)
+    for name, target in labels.items():
+        target, z = np.asarray(target, bool), np.hstack([x, oof])
+        shift = float(np.log(max(1, (~y).sum()) / max(1, y.sum()))) if name == LAST else 0.0
         w, b = linear.logistic(z, target)
         chain.links.append((w[: len(words)].copy(), w[len(words) :].copy(), b + shift))
         mine = np.zeros(len(y), np.float32)
@@ -127,30 +120,51 @@ def fit(lists: list[np.ndarray], toxic: np.ndarray, features: int = FEATURES, fo
             wf, bf = linear.logistic(z[fold != f], target[fold != f])
             mine[fold == f] = linear.sigmoid(z[fold == f] @ wf + bf + shift)
         oof = np.hstack([oof, mine[:, None]])
+    chain.threshold = _part(oof[:, -1].astype(np.float64), y)
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """Fit the chain on at most ``max_rows`` labelled rows of either class. The sample's ids are broadcast (bounded), texts aren't shuffled."""
     attach(docs.sparkSession)
-    by = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [by.where(F.col("_toxic") == c).orderBy(*order).limit(max_rows) for c in (False, True)]
-    sample = F.broadcast(picked[0].union(picked[1]).withColumnRenamed("doc_id", "_id"))
+    names = [c for c in labels.columns if c not in ("doc_id", LAST)] + [LAST]
+    by = labels.where(f"doc_id IS NOT NULL AND {LAST} IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    by = by.agg(*[F.coalesce(F.max(F.col(f"`{c}`")) > 0, F.lit(False)).alias(f"_{i}") for i, c in enumerate(names)])
+    marks = [f"_{i}" for i in range(len(names))]
+    order = [F.xxhash64("_id"), F.col("_id")]
+    picked = [by.where(F.col(marks[-1]) == c).orderBy(*order).limit(max_rows) for c in (False, True)]
+    sample = F.broadcast(picked[0].union(picked[1]))
+    got = docs.select(docs["doc_id"], docs["text"]).join(sample, F.col("doc_id") == F.col("_id")).select("_id", *marks, "text")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [v.view(np.int64) for v in word_lists(b.column(b.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lists, pa.list_(pa.int64()))], [*b.schema.names[:-1], "words"])
+
+    kinds = T.StructType([*got.drop("text").schema.fields, T.StructField("words", T.ArrayType(T.LongType()))])
+    got = cut(got.mapInArrow(listed, kinds))
+    toxic = F.col(marks[-1])
+    p, q = (n or 0 for n in got.agg(F.sum(toxic.cast("long")), F.sum((~toxic).cast("long"))).first())
+    if not p or not q:
+        return Chain(names)
+    n1, n0 = F.col("n1"), F.col("n0")
+    each = got.select(toxic.cast("long").alias("t"), F.explode("words").alias("h")).groupBy("h").agg(F.sum("t").cast("double").alias("n1"), F.sum(1 - F.col("t")).cast("double").alias("n0"))
+    chi = F.try_divide(F.pow(n1 * (q - n0) - n0 * (p - n1), 2) * float(p + q), (n1 + n0) * (float(p + q) - n1 - n0) * float(p) * float(q))
+    top = each.where(n1 + n0 >= 5).select("h", chi.alias("chi")).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "h").limit(features)
+    words = np.sort(np.array([r[0] for r in top.collect()], np.int64).view(_U))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def had(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [v.view(np.int64) for v in word_lists(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int64()))], ["id", "toxic", "words"])
+            lists = b.column(b.num_columns - 1)
+            bits = [np.packbits(np.isin(words, v.values.to_numpy().view(_U))).tobytes() for v in lists]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(bits, pa.binary())], [*b.schema.names[:-1], "bits"])
 
-    texts = docs.select("doc_id", "text")
-    got = texts.join(sample, F.col("doc_id") == F.col("_id")).select("_id", "_toxic", "text").mapInArrow(run, "id long, toxic boolean, words array<long>").toArrow()
-    # views of the Arrow buffers: as Python numbers the words would take ten times the room
-    order = np.argsort(got["id"].to_numpy(), kind="stable")
-    toxic = got["toxic"].to_numpy(zero_copy_only=False).astype(bool)[order]
-    views = [np.asarray(v.values.to_numpy(), np.int64).view(_U) for c in got["words"].chunks for v in c]
-    lists = [views[i] for i in order]
-    return fit(lists, toxic, features, folds)
+    kinds = T.StructType([*kinds.fields[:-1], T.StructField("bits", T.BinaryType())])
+    rows = got.mapInArrow(had, kinds).toArrow().sort_by([("_id", "ascending"), ("bits", "ascending")])
+    wide = -(-len(words) // 8)
+    x = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(len(rows), wide)
+    x = np.unpackbits(x, axis=1, count=len(words)).astype(np.float32) if wide else np.zeros((len(rows), 0), np.float32)
+    return fit(x, {n: rows[m].to_numpy(zero_copy_only=False).astype(bool) for n, m in zip(names, marks, strict=True)}, words, folds)
 
 
 def _probabilities(column, chain: Chain) -> np.ndarray:
@@ -160,8 +174,9 @@ def _probabilities(column, chain: Chain) -> np.ndarray:
     return p
 
 
-def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``p_<category>`` for each category and ``is_toxic``."""
+def score(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
+    """``docs`` with ``p_<category>`` for each category and ``is_toxic`` (by the chain's threshold, unless another is given)."""
+    threshold = chain.threshold if threshold is None else threshold
     sc = attach(docs.sparkSession).sparkContext
     added = [f"p_{n}" for n in chain.names]
     docs = docs.drop(*added, "is_toxic")
@@ -178,9 +193,11 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
     return docs.mapInArrow(run, schema)
 
 
-def drop(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
+def drop(docs: DataFrame, labels: DataFrame, threshold: float | None = None, **params) -> DataFrame:
     """The documents that the chain does not find toxic, columns as they were. One scan besides training."""
-    shared = attach(docs.sparkSession).sparkContext.broadcast(train(docs, labels, **params))
+    chain = train(docs, labels, **params)
+    threshold = chain.threshold if threshold is None else threshold
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

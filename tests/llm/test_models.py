@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from grainmill.llm import langid, lm, toxicity
 from tests.llm.util import DOCS, docs, got, prose, words
@@ -100,43 +102,58 @@ def test_lm_defined_cases(spark):
 # -- toxicity --------------------------------------------------------------------------------------------------------
 
 
-def _toxic_rows(spark, sf):
-    d = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{d}/labels.parquet")
-    rows = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").collect()
-    return rows
-
-
-def test_toxicity_held_out():
+def test_toxicity_held_out(spark):
     rng = random.Random(4)
-    bad = [w for s in toxicity.SEEDS.values() for w in s]
+    insults, threats = prose(rng, 6).split(), prose(rng, 5).upper().split()
     made = []
     for i in range(1200):
-        w = prose(rng, rng.randint(5, 60)).split()
-        y = i % 4 == 0
-        for _ in range(rng.randint(1, 5) if y else 0):
-            w.insert(rng.randrange(len(w)), rng.choice(bad))
-        made.append((" ".join(w), y))
-    train, test = made[:800], made[800:]
-    chain = toxicity.fit(toxicity.word_lists(pa.array([t for t, _ in train])), np.array([y for _, y in train]))
-    p = chain.probabilities(toxicity.presence(pa.array([t for t, _ in test]), chain.words))
-    y = np.array([y for _, y in test])
-    hit = p[:, -1] >= toxicity.THRESHOLD
-    assert (hit & y).sum() >= 0.98 * y.sum()
-    assert (hit & ~y).sum() <= 0.01 * (~y).sum()
+        w = [f"{x}{rng.choice('aeiou')}" for x in prose(rng, rng.randint(5, 60)).split()]
+        kind = i % 4
+        for _ in range(rng.randint(1, 5) if kind > 1 else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(insults if kind == 2 else threats))
+        made.append((i, " ".join(w), int(kind == 2), int(kind == 3), int(kind > 1)))
+    d = docs(spark, [r[:2] for r in made])
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in made if r[0] < 800], "doc_id long, insult int, threat int, toxic int")
+    chain = toxicity.train(d, labels)
+    assert chain.names == ["insult", "threat", "toxic"]
     assert [len(v) for _, v, _ in chain.links] == [0, 1, 2]  # each link sees those before it
-    insult = np.array([any(w in t.split() for w in toxicity.SEEDS["insult"]) for t, _ in test])
-    assert ((p[:, 0] >= 0.5) == insult).mean() > 0.95
+    out = {r.doc_id: r for r in toxicity.score(d, chain).collect()}
+    held = [r for r in made if r[0] >= 800]
+    assert sum(out[r[0]].is_toxic == bool(r[4]) for r in held) >= 0.98 * len(held)
+    assert sum((out[r[0]].p_insult >= 0.5) == bool(r[2]) for r in held) >= 0.98 * len(held)
+    assert sum((out[r[0]].p_threat >= 0.5) == bool(r[3]) for r in held) >= 0.98 * len(held)
+
+
+def test_toxicity_features_are_those_of_the_largest_chi_square(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 20) + (" vile" if i % 2 and rng.random() < 0.7 else "") + (" fine" if not i % 2 and rng.random() < 0.3 else "")) for i in range(300)]
+    chain = toxicity.train(docs(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"), features=2)
+    lists = toxicity.word_lists(pa.array([t for _, t in rows]))
+    chi = {}
+    for h in set(np.concatenate(lists).tolist()):
+        has = np.array([h in v for v in lists])
+        y = np.array([i % 2 for i, _ in rows]) > 0
+        table = np.array([[(has & y).sum(), (has & ~y).sum()], [(~has & y).sum(), (~has & ~y).sum()]], float)
+        want = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
+        if has.sum() >= 5 and (want > 0).all():
+            chi[h] = ((table - want) ** 2 / want).sum()
+    assert set(chain.words.tolist()) == {h for h, v in sorted(chi.items(), key=lambda x: -x[1])[:2] if v >= toxicity.MIN_CHI}
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.booleans()), min_size=1, max_size=20))
+def test_threshold_parts_best(rows):
+    p, y = np.array([a for a, _ in rows]) / 5, np.array([b for _, b in rows])
+    if y.all() or not y.any():
+        return
+    wrong = lambda t: (y & (p < t)).sum() / y.sum() + (~y & (p >= t)).sum() / (~y).sum()
+    assert wrong(toxicity._part(p, y)) == pytest.approx(min(wrong(t) for t in [*np.arange(0.1, 1, 0.2)]))
 
 
 def test_toxicity_on_the_tables(spark):
-    rows = _toxic_rows(spark, None)
-    held = [r for r in rows if r.doc_id % 3 == 0]
-    train = [r for r in rows if r.doc_id % 3]
-    chain = toxicity.fit(toxicity.word_lists(pa.array([r.text for r in train])), np.array([r.toxic for r in train]))
-    p = chain.probabilities(toxicity.presence(pa.array([r.text for r in held]), chain.words))[:, -1]
-    y = np.array([r.toxic for r in held]) > 0
-    assert ((p >= toxicity.THRESHOLD) == y).mean() > 0.9
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.train(d, labels.where("doc_id % 3 > 0"))
+    held = toxicity.score(d.select("doc_id", "text"), chain).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert np.mean([r.is_toxic == (r.toxic > 0) for r in held]) > 0.9
 
 
 def test_toxicity_defined_cases(spark):
@@ -144,7 +161,7 @@ def test_toxicity_defined_cases(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)] + [(0, 1, 0), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
     d = docs(spark, rows, ("is_toxic", "_id", "p_toxic", "words"))
     out = toxicity.score(d, toxicity.train(d, labels))
-    assert set(out.columns) == set(d.columns) | {"p_insult", "p_contempt"}
+    assert set(out.columns) == set(d.columns) | {"p_quality"}
     flag = {r.doc_id: r.is_toxic for r in out.collect()}
     assert all(flag[i] == (i % 3 == 0) for i in range(60))
     assert not flag[60] and not flag[61] and not flag[62]
