@@ -2,7 +2,7 @@
 
 Normalised: lower case, every run of characters that are neither letters nor digits is one space. The patterns are all
 windows of ``window`` words of the benchmark's texts (a shorter text is one pattern, whole), so whole and partial leaks are both met. The automaton's symbols
-are words, by their number in the benchmark's vocabulary, so matches begin and end with words, and it has a node for a word instead of one for a character.
+are words (a character for each of the benchmark's vocabulary), so matches begin and end with words, and it has a node for a word instead of one for a character.
 Each text is scanned once; hits of one item that overlap or touch are one span, and only texts with hits pay for the way back to offsets in the original.
 
 ``find`` reports every item, however short. ``drop`` goes by items of at least ``min_words`` words: an answer such as "four" is in texts that have nothing to do with it.
@@ -26,11 +26,13 @@ from grainmill.session import attach
 
 WINDOW = 13
 MIN_WORDS = 5
-#: Words of patterns in an automaton that is sent to the executors (a node of some 40 bytes each at most; 600,000 words of benchmark text);
+#: Words of patterns in an automaton that is sent to the executors (a node of some 60 bytes each at most; 600,000 words of benchmark text);
 #: a benchmark beyond that is split by items, and texts are scanned for each part.
 AUTOMATON_WORDS = 8_000_000
 
 _GAP = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+OTHER = chr(0)
 SCHEMA = "doc_id long, item_id long, start int, end int, matched string"
 _cache: dict = {}
 
@@ -90,20 +92,27 @@ def parts(items: list[tuple[int, str | None]], window: int, min_words: int, limi
     return [list(x.items()) for x in (patterns(p, window, min_words) for p in [*out, mine]) if x]
 
 
+def _symbol(i: int) -> str:
+    """A character for the word of number ``i``; surrogates are left out. There are more of them than words in ``AUTOMATON_WORDS``' texts."""
+    return chr(i + 1 if i < 0xD000 else i + 0x1000)
+
+
 class Matcher:
-    """The vocabulary of the patterns (0: any other word) and the automaton over its numbers."""
+    """The vocabulary of the patterns, a character for each word (``OTHER`` for all that aren't in it), and the automaton over those characters."""
 
     def __init__(self, known: list[tuple[tuple[str, ...], list[int]]]) -> None:
-        self.vocab: dict[str, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.vocab: dict[str, str] = {}
+        self.automaton = ahocorasick.Automaton()
         for words, items in known:
-            self.automaton.add_word(tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words), (len(words), items))
+            self.automaton.add_word("".join(self.vocab.setdefault(w, _symbol(len(self.vocab))) for w in words), (len(words), items))
         self.automaton.make_automaton()
 
     def places(self, text: str) -> list[tuple[int, int, list[int]]]:
         """First word, end and items of each window found, by their ends."""
-        words = tuple(map(self.vocab.get, _GAP.sub(" ", text.lower()).split(), repeat(0)))
-        return [(end + 1 - n, end + 1, items) for end, (n, items) in self.automaton.iter(words)] if words and self.vocab else []
+        if not self.vocab:
+            return []
+        words = "".join(map(self.vocab.get, _WORD.findall(text.lower()), repeat(OTHER)))
+        return [(end + 1 - n, end + 1, items) for end, (n, items) in self.automaton.iter(words)]
 
 
 def _matcher(shared) -> Matcher:
