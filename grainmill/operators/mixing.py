@@ -2,14 +2,16 @@
 
 Concatenation and round robin are closed formulas. Smooth weighted round robin repeats itself between exhaustions: the picks of one period are
 simulated on the driver and every further place follows by arithmetic, whatever the number of rows. The random strategies follow
-one generator per slot, so their picks are simulated, slot by slot, in executors.
+one generator per slot, so their picks are simulated, once for each slot in executors, and joined to the rows.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -100,10 +102,15 @@ def weighted_phases(counts: Sequence[int], weights: Sequence[int]) -> list[Phase
     return out
 
 
+@lru_cache(maxsize=64)
+def _phases(counts: tuple[int, ...], weights: tuple[int, ...]) -> list[Phase]:
+    return weighted_phases(counts, weights)
+
+
 def weighted_places(counts: Sequence[int], weights: Sequence[int], source: int, nth: np.ndarray) -> np.ndarray:
     """The place of rows ``nth`` of a source."""
     out = np.full(len(nth), -1, np.int64)
-    for p in weighted_phases(counts, weights):
+    for p in _phases(tuple(counts), tuple(weights)):
         if source in p.picks:
             took = p.length // len(p.picks) * int((p.picks == source).sum())
             k = (nth >= p.had[source]) & (nth < p.had[source] + took)
@@ -111,10 +118,10 @@ def weighted_places(counts: Sequence[int], weights: Sequence[int], source: int,
     return out
 
 
-def random_picks(counts: Sequence[int], weights: Sequence[int] | None, seed: int) -> np.ndarray:
-    """The source of each place, by ``random.Random(seed)``; a source is found to be empty by a wasted pick."""
+def random_picks(counts: Sequence[int], weights: Sequence[int] | None, seed: int) -> Iterator[int]:
+    """The source of each place in turn, by ``random.Random(seed)``; a source is found to be empty by a wasted pick."""
     rng, left = random.Random(seed), list(counts)
-    alive, out = list(range(len(counts))), []
+    alive = list(range(len(counts)))
     while alive:
         if weights is None:
             i = rng.choice(alive)
@@ -126,10 +133,23 @@ def random_picks(counts: Sequence[int], weights: Sequence[int] | None, seed: int
                     break
         if left[i]:
             left[i] -= 1
-            out.append(i)
+            yield i
         else:
             alive.remove(i)
-    return np.array(out, np.int64)
+
+
+def schedule(counts: Sequence[int], weights: Sequence[int] | None, seed: int, size: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The random merge in pieces: of each place in turn its source, the number of its row there, and the place itself."""
+    picks, had, at = random_picks(counts, weights, seed), np.zeros(len(counts), np.int64), 0
+    while got := list(islice(picks, size)):
+        source = np.array(got, np.int64)
+        nth = np.empty(len(got), np.int64)
+        for i in np.unique(source):
+            k = np.flatnonzero(source == i)
+            nth[k] = had[i] + np.arange(len(k))
+            had[i] += len(k)
+        yield source, nth, np.arange(at, at + len(got))
+        at += len(got)
 
 
 def places(strategy: str, counts: Sequence[int], weights: Sequence[int], source: int, nth: np.ndarray, seed: int) -> np.ndarray:
@@ -143,6 +163,6 @@ def places(strategy: str, counts: Sequence[int], weights: Sequence[int], source:
     if strategy == "weighted_round_robin":
         return weighted_places(counts, weights, source, nth)
     if strategy in ("random", "weighted_random"):
-        picks = random_picks(counts, weights if strategy == "weighted_random" else None, seed)
-        return np.flatnonzero(picks == source)[nth]
+        parts = list(schedule(counts, weights if strategy == "weighted_random" else None, seed))
+        return np.concatenate([np.zeros(0, np.int64), *(at[s == source] for s, _, at in parts)])[nth]
     raise ValueError(f"[UnsupportedMixedStrategy] {strategy!r} is none of {', '.join(STRATEGIES)}")

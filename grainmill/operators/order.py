@@ -50,23 +50,23 @@ class ChunkShuffle:
 
     def chunks(self, total: int, seed: int, round_: int) -> np.ndarray:
         """The order of the chunks in a round."""
-        return np.random.default_rng(mix_seed(seed, round_, 0)).permutation(-(-total // self.chunk_size))
+        n = -(-total // self.chunk_size)
+        return permute(np.arange(n), n, mix_seed(seed, round_, 0))
 
     def places(self, rows: np.ndarray, total: int, seed: int, round_: int) -> np.ndarray:
         """The place of each row number in the shuffled order."""
-        order = self.chunks(total, seed, round_)
-        size = np.minimum(self.chunk_size, total - order * self.chunk_size)
-        start = np.cumsum(size) - size  # of the chunks, in shuffled order
-        nth = np.empty(len(order), np.int64)
-        nth[order] = np.arange(len(order))
-        n = nth[rows // self.chunk_size]
-        place = start[n] + rows % self.chunk_size
+        chunks = -(-total // self.chunk_size)
+        nth = lambda c: permute(c, chunks, mix_seed(seed, round_, 0), back=True)  # noqa: E731 - where chunks are; no list of them is needed
+        # all chunks are full but the table's last one
+        short, late = chunks * self.chunk_size - total, nth(np.array([chunks - 1]))[0]
+        begin = lambda k: k * self.chunk_size - np.where(k > late, short, 0)  # noqa: E731 - place of the k-th chunk in shuffled order
+        n = nth(rows // self.chunk_size)
+        place = begin(n) + rows % self.chunk_size
         if self.row_order == "sequential":
             return place
         window = n // self.k
-        first = start[window * self.k]
-        ends = np.append(start, total)
-        size = ends[np.minimum((window + 1) * self.k, len(order))] - first
+        first = begin(window * self.k)
+        size = begin(np.minimum((window + 1) * self.k, chunks)) - first
         out = place.copy()
         for w in np.unique(window):
             k = window == w
@@ -108,9 +108,10 @@ def shuffled_place(row: Column, total: int, mode: str, seed: int, chunk: ChunkSh
     return run(row.cast("long"), rounds.cast("long"))
 
 
-def deal_rows(df: DataFrame, index: str, total: int, select: Selection, mode: str, seed: int, chunk: ChunkShuffle, total_slots: int, rounds: int) -> DataFrame:
+def deal_rows(df: DataFrame, index: str, total: int, select: Selection, mode: str, seed: int, chunk: ChunkShuffle, total_slots: int, rounds: int | range) -> DataFrame:
     """Add slot, round and place to rows numbered by ``index`` (0..total - 1). Rows outside the selection go. No shuffle, no join."""
-    r = F.lit(0) if rounds == 1 else F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    rounds = range(rounds) if isinstance(rounds, int) else rounds
+    r = F.lit(rounds.start) if len(rounds) == 1 else F.explode(F.sequence(F.lit(rounds.start), F.lit(rounds.stop - 1)))
     df = df.withColumn(ROUND, r)
     if select.seed is None:
         df = df.withColumn("__eff__", shuffled_place(F.col(index), total, mode, seed, chunk, F.col(ROUND)) - select.start)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -70,21 +71,25 @@ def select(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c in names or is_meta(c)])
 
 
-def reservoir(count: int, buffer_size: int, initial: int | None, seed: int) -> list[int]:
-    """The order in which a bounded shuffle buffer gives out rows 0..count - 1: it depends on the count and the seed alone."""
-    rng, held, out, at = random.Random(seed), [], [], 0
+def reservoir(count: int, buffer_size: int, initial: int | None, seed: int, ends: bool = True) -> Iterator[int]:
+    """The order in which a bounded shuffle buffer gives out rows 0..count - 1: it depends on the count and the seed alone.
+
+    Without ``ends`` rows go on after these, and the order stops where they are needed. The buffer is all that is held.
+    """
+    rng, held, at = random.Random(seed), [], 0
     start = min(buffer_size, initial or buffer_size)
     while at < count or held:
         for _ in range(2):
+            if at >= count and not ends and (len(held) < buffer_size or _ == 0):
+                return
             if at < count and (len(held) < buffer_size or _ == 0):
                 held.append(at)
                 at += 1
         # the end of input is only noticed by a read that fails
-        if len(held) >= start or at >= count:
+        if len(held) >= start or (ends and at >= count):
             i = rng.randrange(len(held))
             held[i], held[-1] = held[-1], held[i]
-            out.append(held.pop())
-    return out
+            yield held.pop()
 
 
 def check_shuffle(buffer_size: int, initial: int | None) -> None:
@@ -94,17 +99,21 @@ def check_shuffle(buffer_size: int, initial: int | None) -> None:
         raise ValueError(f"initial must be > 0, got {initial}")
 
 
-def shuffle(df: DataFrame, buffer_size: int, initial: int | None, seed: int, per_slot: bool = True) -> DataFrame:
+def shuffle(df: DataFrame, buffer_size: int, initial: int | None, seed: int, per_slot: bool = True, ends: bool = True) -> DataFrame:
     """Bounded shuffle of each slot's stream: places are simulated, slot by slot in executors, and joined back; rows aren't buffered."""
     check_shuffle(buffer_size, initial)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf[SLOT].iloc[0])
-        order = reservoir(int(pdf["n"].iloc[0]), buffer_size, initial, seed + (s if per_slot else 0))
-        return pd.DataFrame({SLOT: s, POS: order, "__to__": range(len(order))})
-
-    counts = df.groupBy(SLOT).agg(F.count(F.lit(1)).alias("n"))
-    moved = counts.groupBy(SLOT).applyInPandas(run, f"{SLOT} int, {POS} long, __to__ long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                order, to = reservoir(n, buffer_size, initial, seed + (s if per_slot else 0), ends), 0
+                while got := list(islice(order, 65_536)):
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(got), pa.int32()), pa.array(got, pa.int64()), pa.array(range(to, to + len(got)), pa.int64())], [SLOT, POS, "__to__"])
+                    to += len(got)
+
+    counts = df.groupBy(F.col(SLOT).cast("int").alias(SLOT)).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.repartition(df.sparkSession.sparkContext.defaultParallelism, SLOT)
+    moved = counts.mapInArrow(run, f"{SLOT} int, {POS} long, __to__ long")
     out = df.join(moved, [SLOT, POS]).withColumn(POS, F.col("__to__")).drop("__to__")
     return out.select(*df.columns)
 
@@ -150,7 +159,7 @@ def unbatch(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return dense(out, [SLOT], [POS, "__i__"], "__new__").drop(POS, "__i__").withColumnRenamed("__new__", POS).select(SLOT, ROUND, POS, *[c for c in out.columns if c not in (*CONTROL, "__i__")])
 
 
-def assemble(df: DataFrame, factory: Callable[[], object], schema: str | T.StructType, drop_last: bool = False) -> DataFrame:
+def assemble(df: DataFrame, factory: Callable[[], object], schema: str | T.StructType, drop_last: bool = False, ends: bool = True) -> DataFrame:
     """A state machine over each slot's stream: ``push(row)`` and, at the end, ``finish(drop_last=...)`` give rows.
 
     Slots are brought together and sorted by place by Spark, which spills; the machine then runs over them in Arrow batches, so a slot need not fit in memory.
@@ -180,13 +189,13 @@ def assemble(df: DataFrame, factory: Callable[[], object], schema: str | T.Struc
                 s, round_ = row.pop(SLOT), row.pop(ROUND)
                 row.pop(POS)
                 if s != slot:
-                    if machine is not None:
+                    if machine is not None and ends:
                         take(machine.finish(drop_last=drop_last))
                     slot, machine, n = s, factory(), 0
                 take(machine.push(row))
             if made:
                 yield flush()
-        if machine is not None:
+        if machine is not None and ends:
             take(machine.finish(drop_last=drop_last))
         if made:
             yield flush()

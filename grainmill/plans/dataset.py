@@ -6,12 +6,12 @@ import warnings
 import weakref
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
 from pathlib import Path
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,16 +44,11 @@ MODES = {"tar": ("shard_aware", "none"), "jsonl": ("shard_aware", "none"), "parq
 @dataclass(frozen=True)
 class Stage:
     kind: str
-    apply: Callable[[DataFrame, RuntimeContext], DataFrame]
+    apply: Callable[[DataFrame, RuntimeContext, bool], DataFrame]  # the last: whether the stream ends after these rounds
     says: object = None
 
 
-@lru_cache(maxsize=64)
-def _places(strategy: str, counts: tuple, weights: tuple, source: int, seed: int) -> np.ndarray:
-    return mixing.places(strategy, counts, weights, source, np.arange(counts[source]), seed)
-
-
-def _placer(strategy: str, counts: dict[int, tuple], weights: tuple, source: int, seed: int):
+def _placer(strategy: str, counts: dict[int, tuple], weights: tuple, source: int):
     """A UDF from (slot, n) to the place in the merged stream of the n-th row of a source."""
 
     @F.pandas_udf("long")
@@ -63,15 +58,25 @@ def _placer(strategy: str, counts: dict[int, tuple], weights: tuple, source: int
             got = np.empty(len(s), np.int64)
             for x in np.unique(s):
                 k = s == x
-                if strategy in ("random", "weighted_random"):
-                    got[k] = _places(strategy, counts[int(x)], weights, source, seed + int(x))[p[k]]
-                else:
-                    got[k] = mixing.places(strategy, counts[int(x)], weights, source, p[k], 0)
+                got[k] = mixing.places(strategy, counts[int(x)], weights, source, p[k], 0)
             yield pd.Series(got)
 
     return place
 
 
+def _scheduled(spark: SparkSession, counts: dict[int, tuple], weights: tuple | None, seed: int) -> DataFrame:
+    """``__slot__, __from__, __pos__, __to__``: places of the rows of each source in a random merge; a generator for each slot, run in executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for slot in b.column(0).to_pylist():
+                for source, nth, at in mixing.schedule(counts[slot], weights, seed + slot):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), slot, np.int32)), pa.array(source.astype(np.int32)), pa.array(nth), pa.array(at)], [SLOT, "__from__", POS, "__to__"])
+
+    slots = spark.createDataFrame([(s,) for s in counts], "slot int").repartition(max(1, len(counts)))
+    return slots.mapInArrow(run, f"{SLOT} int, __from__ int, {POS} long, __to__ long")
+
+
 @dataclass(frozen=True, eq=False)
 class Dataset:
     spark: SparkSession
@@ -241,37 +246,37 @@ class Dataset:
 
     # -- stages ------------------------------------------------------------------------------------------------------
 
-    def _then(self, kind: str, apply: Callable[[DataFrame, RuntimeContext], DataFrame], *says: object) -> Dataset:
+    def _then(self, kind: str, apply: Callable[[DataFrame, RuntimeContext, bool], DataFrame], *says: object) -> Dataset:
         return replace(self, stages=(*self.stages, Stage(kind, apply, says)), pending=None)
 
     def map(self, fn: Callable[[dict], dict] | dict[str, Column | str], schema: str | T.StructType | None = None) -> Dataset:
         """Column expressions by name (stay in the JVM), or a Python function from row to row with the schema of its results."""
         if isinstance(fn, dict):
-            return self._then("map", lambda df, _: stages.map_columns(df, fn), {k: str(v) for k, v in fn.items()})
+            return self._then("map", lambda df, *_: stages.map_columns(df, fn), {k: str(v) for k, v in fn.items()})
         if schema is None:
             raise ValueError("map of a function needs the schema of its results")
-        return self._then("map", lambda df, _: stages.map_rows(df, fn, schema), fn, str(schema))
+        return self._then("map", lambda df, *_: stages.map_rows(df, fn, schema), fn, str(schema))
 
     def select(self, names: Sequence[str]) -> Dataset:
         names = [names] if isinstance(names, str) else list(names)
-        return self._then("select", lambda df, _: stages.select(df, names), names)
+        return self._then("select", lambda df, *_: stages.select(df, names), names)
 
     def shuffle(self, buffer_size: int, initial: int | None = None) -> Dataset:
         stages.check_shuffle(buffer_size, initial)
-        return self._then("shuffle", lambda df, c: stages.shuffle(df, buffer_size, initial, c.seed), buffer_size, initial)
+        return self._then("shuffle", lambda df, c, ends: stages.shuffle(df, buffer_size, initial, c.seed, ends=ends), buffer_size, initial)
 
     def batch(self, size: int, drop_last: bool = False, collate_fn: Callable | None = None, schema: str | T.StructType | None = None) -> Dataset:
         """Lists of consecutive rows. ``collate_fn``: from the list to a row (with ``schema``), or (without) from the array column to columns by name."""
         if isinstance(size, bool) or not isinstance(size, int) or size <= 0:
             raise ValueError(f"batch size must be a positive whole number, got {size!r}")
         how = {"fn": collate_fn, "schema": schema} if schema is not None else {"collate": collate_fn}
-        return self._then("batch", lambda df, _: stages.batch(df, size, drop_last, **how), size, drop_last, collate_fn, str(schema))
+        return self._then("batch", lambda df, _, ends: stages.batch(df, size, drop_last or not ends, **how), size, drop_last, collate_fn, str(schema))
 
     def unbatch(self, columns: Sequence[str] | None = None) -> Dataset:
-        return self._then("unbatch", lambda df, _: stages.unbatch(df, columns), columns)
+        return self._then("unbatch", lambda df, *_: stages.unbatch(df, columns), columns)
 
     def assemble(self, factory: Callable[[], object], schema: str | T.StructType, drop_last: bool = False) -> Dataset:
-        return self._then("assemble", lambda df, _: stages.assemble(df, factory, schema, drop_last), factory, str(schema), drop_last)
+        return self._then("assemble", lambda df, _, ends: stages.assemble(df, factory, schema, drop_last, ends), factory, str(schema), drop_last)
 
     def resolve_ref(self, names: str | Sequence[str], resolve_batch_size: int = 1024, hint: str | None = None) -> Dataset:
         """Replace key columns by what the tables of ``ref_columns`` hold for them."""
@@ -284,7 +289,7 @@ class Dataset:
         if bad := [n for n in names if n not in known]:
             raise ValueError(f"[UnknownLanceRefColumn] {bad[0]!r}")
 
-        def apply(df: DataFrame, _: RuntimeContext) -> DataFrame:
+        def apply(df: DataFrame, *_: object) -> DataFrame:
             for n in names:
                 df = refs.resolve(df, n, refs.ref_table(self.spark, known[n]), known[n].key, known[n].value, [SLOT, POS], hint)
             return df
@@ -293,7 +298,7 @@ class Dataset:
 
     # -- compilation -------------------------------------------------------------------------------------------------
 
-    def _scan(self) -> DataFrame:
+    def _scan(self, within: range | None = None) -> DataFrame:
         o = self.options
         if self.kind == "tar":
             df = files.scan_tar(self.spark, self.source, o.get("fields"), o.get("key_dot_level"))
@@ -305,34 +310,60 @@ class Dataset:
         elif self.kind == "parquet":
             df = files.scan_parquet(self.spark, self.source, o.get("columns"))
         else:
-            df = table.scan(self.spark, self.source, None if self.filters else o.get("columns"))
+            df = table.scan(self.spark, self.source, None if self.filters else o.get("columns"), within=within)
         for w in self.filters:
             df = df.where(F.expr(w))
         if self.filters and self._tabular and o.get("columns") is not None:
             df = df.select(*[c for c in df.columns if c in o["columns"] or stages.is_meta(c)])
         return df
 
-    def _dealt(self, rounds: int) -> DataFrame:
+    def _dealt(self, rounds: int | range, slot: int | None = None, start: int = 0) -> DataFrame:
+        """The source's rows with their places; with ``slot``, for that one and from place ``start`` on at least, reading no more files than it has to."""
         c, o = self.context, self.options
         if self.kind == "mixed":
             return self._merged(rounds)
-        df = self._scan()
-        if self._tabular:
-            total, at = self.source.rows, "__global_index__"
-            if self.filters:
-                total, at = (self.selection.total if self.selection else df.count()), "__nth__"
-                df = order.dense(df, [], ["__global_index__"], at)
+        if not self._tabular:
+            return self._dealt_units(range(rounds) if isinstance(rounds, int) else rounds, slot, start)
+        total, at, within = self.source.rows, "__global_index__", None
+        sel = self.selection or Selection(0, total, total)
+        mode = o.get("shuffle_mode", "none")
+        if not self.filters and mode == "none" and sel.seed is None:
+            first = sel.start
+            if slot is not None and isinstance(rounds, range) and len(rounds) == 1:
+                first += max(0, start - rounds.start * order.round_size(sel.count, slot, c.total_slots)) * c.total_slots
+            within = range(first, sel.start + sel.count)
+        df = self._scan(within)
+        if self.filters:
+            total, at = (self.selection.total if self.selection else df.count()), "__nth__"
+            df = order.dense(df, [], ["__global_index__"], at)
             sel = self.selection or Selection(0, total, total)
-            df = order.deal_rows(df, at, total, sel, o.get("shuffle_mode", "none"), c.seed, o.get("chunk_shuffle") or ChunkShuffle(), c.total_slots, rounds)
-            return df.drop("__nth__")
+        df = order.deal_rows(df, at, total, sel, mode, c.seed, o.get("chunk_shuffle") or ChunkShuffle(), c.total_slots, rounds)
+        return df.drop("__nth__")
+
+    def _dealt_units(self, rounds: range, slot: int | None, start: int) -> DataFrame:
+        c, o = self.context, self.options
+        every = range(len(self.source))
+
+        def deal(rows: dict[int, int]) -> list[tuple[int, int, int, int]]:
+            return [x for x in order.deal_units(list(every), rows, c.total_slots, c.seed, o["shuffle_mode"] != "none", rounds.stop) if slot is None or x[2] == slot]
+
+        def scan(units: list[int]) -> DataFrame:
+            df = replace(self, source=tuple(self.source[u] for u in units))._scan()
+            return order.dense(df, [files.UNIT], [files.ROW], "__nth__").drop(files.ROW).withColumnRenamed("__nth__", files.ROW) if self.filters else df
+
+        need = sorted({u for u, *_ in deal(dict.fromkeys(every, 0))})
+        df = scan(need)
         if self.filters:
-            df = order.dense(df, [files.UNIT], [files.ROW], "__nth__").drop(files.ROW).withColumnRenamed("__nth__", files.ROW)
             got = {r[0]: r[1] for r in df.groupBy(files.UNIT).count().collect()}
-            rows = {i: got.get(i, 0) for i in range(len(self.source))}
         else:
-            rows = files.counted(df, self.source)
-        layout = order.deal_units(list(range(len(self.source))), rows, c.total_slots, c.seed, o["shuffle_mode"] != "none", rounds)
-        return order.join_units(self.spark, df, files.UNIT, files.ROW, layout).drop(files.UNIT, files.ROW)
+            got = files.counted(df, [self.source[u] for u in need])
+        rows = {u: 0 for u in every} | {u: got.get(i, 0) for i, u in enumerate(need)}
+        layout = [x for x in deal(rows) if x[1] in rounds and x[3] + rows[x[0]] > start]
+        used = sorted({u for u, *_ in layout}) or need[:1]
+        if used != need:
+            df = scan(used)
+        place = {u: i for i, u in enumerate(used)}
+        return order.join_units(self.spark, df, files.UNIT, files.ROW, [(place[u], *rest) for u, *rest in layout]).drop(files.UNIT, files.ROW)
 
     def _merged(self, rounds: int) -> DataFrame:
         o, seed = self.options, self.context.seed
@@ -342,25 +373,40 @@ class Dataset:
             for slot, n in f.groupBy(SLOT).count().collect():
                 counts.setdefault(slot, [0] * len(frames))[i] = n
         known = {s: tuple(v) for s, v in counts.items()}
+        drawn = _scheduled(self.spark, known, o["weights"] if o["strategy"] == "weighted_random" else None, seed) if "random" in o["strategy"] else None
         out = None
         for i, ((name, _), f) in enumerate(zip(self.source, frames)):
 
-            place = _placer(o["strategy"], known, o["weights"], i, seed)
-            f = f.withColumn(POS, place(F.col(SLOT), F.col(POS))).withColumn("__source__", F.lit(name))
+            if drawn is not None:
+                columns = f.columns
+                f = f.join(drawn.where(F.col("__from__") == i).drop("__from__"), [SLOT, POS]).withColumn(POS, F.col("__to__")).select(*columns)
+            else:
+                place = _placer(o["strategy"], known, o["weights"], i)
+                f = f.withColumn(POS, place(F.col(SLOT), F.col(POS)))
+            f = f.withColumn("__source__", F.lit(name))
             out = f if out is None else out.unionByName(f, allowMissingColumns=True)
         return out
 
-    def frame(self, rounds: int = 1) -> DataFrame:
-        """All slots' streams: data, metadata and ``__slot__, __round__, __pos__``, places dense in each slot and running on over rounds."""
-        if rounds < 1:
+    def frame(self, rounds: int | range = 1, *, ends: bool = True, slot: int | None = None, start: int = 0) -> DataFrame:
+        """All slots' streams: data, metadata and ``__slot__, __round__, __pos__``, places dense in each slot and running on over rounds.
+
+        ``ends``: whether the stream ends after these rounds; if not, rows that a stage could only give out with those that follow are left out.
+        ``slot``: only this one is needed, and its rows from place ``start`` on; files without any are not read. A range of rounds is for stages that go row by row.
+        """
+        if (rounds if isinstance(rounds, int) else len(rounds)) < 1:
             raise ValueError("rounds must be at least 1")
         if self.kind == "snapshot":
-            return self._snapshot().frame(rounds)
-        df = self._dealt(rounds)
+            return self._snapshot().frame(rounds, ends=ends, slot=slot, start=start)
+        df = self._dealt(rounds, slot, start if self._row_by_row else 0)
         for s in self.stages:
-            df = s.apply(df, self.context)
+            df = s.apply(df, self.context, ends)
         return df
 
+    @property
+    def _row_by_row(self) -> bool:
+        """Whether every stage makes one row of one row, so that places stay as the source has them."""
+        return self.kind != "mixed" and all(s.kind in ("map", "select", "resolve_ref") for s in self.stages)
+
     def dataframe(self, rounds: int = 1) -> DataFrame:
         """The data without the control columns, in no particular order."""
         f = self.frame(rounds)
@@ -436,9 +482,16 @@ class Dataset:
             "stages": [[s.kind, identity.identity(s.says)] for s in self.stages],
         }
 
+    def state_dict(self) -> dict:
+        """The state of the iteration that is under way; None in it if there is none."""
+        it = _ACTIVE.get(self)
+        it = it() if it is not None else None
+        return identity.envelope(self.identity(), None) if it is None or not it.active else it.state_dict()
+
     def load_state_dict(self, state: dict) -> Dataset:
-        """A dataset whose next iteration goes on where the state was taken; a state of an ended iteration starts over."""
-        return replace(self, pending=identity.opened(self.identity(), state))
+        """The next iteration of this dataset goes on where the state was taken; with a state of an ended iteration it starts over. Returns the dataset."""
+        object.__setattr__(self, "pending", identity.opened(self.identity(), state))
+        return self
 
     def __iter__(self) -> DatasetIterator:
         if (it := _ACTIVE.get(self)) is not None and (it := it()) is not None and it.active:
@@ -448,13 +501,19 @@ class Dataset:
         _ACTIVE[self] = weakref.ref(made)
         return made
 
-    def rows(self, rounds: int = 1, start: int = 0) -> Iterator[dict]:
+    def rows(self, rounds: int | range = 1, start: int = 0, *, ends: bool = True) -> Iterator[dict]:
         """The rows of this context's slot in order, from place ``start`` on."""
-        f = self.frame(rounds)
+        f = self.frame(rounds, ends=ends, slot=self.context.slot, start=start)
         mine = f.where((F.col(SLOT) == self.context.slot) & (F.col(POS) >= start)).orderBy(POS)
         for r in mine.select(*stages.data_columns(f)).toLocalIterator(prefetchPartitions=True):
             yield codecs.decode(r.asDict(recursive=True))
 
+    def _any(self) -> bool:
+        """Whether the source has a row for this slot at all."""
+        if self.kind == "snapshot":
+            return self._snapshot()._any()
+        return self._dealt(1, self.context.slot).where(F.col(SLOT) == self.context.slot).limit(1).count() > 0
+
     def consume(self, factory: Callable[[], object]) -> object:
         """Fold the stream: ``push(item)`` until it returns exactly False, then the result of ``finish()``."""
         c = factory()
@@ -473,30 +532,37 @@ class UnsupportedResumeError(identity.UnsupportedResume):
 
 
 class DatasetIterator:
-    """One run over a slot's stream; knows how many items it has given out."""
+    """One run over a slot's stream; knows how many items it has given out, and which round the source is in."""
 
     def __init__(self, dataset: Dataset, state: dict | None) -> None:
-        self.dataset, self.yielded, self.active, self.ended = dataset, (state or {}).get("yielded", 0), True, False
+        self.dataset, self.active = dataset, True
         self._own = dataset.identity
+        self._begin(state)
+
+    def _begin(self, state: dict | None) -> None:
+        self.yielded, self.round, self.ended = (state or {}).get("yielded", 0), (state or {}).get("round", 0), False
         self._it = self._items()
 
     def _items(self) -> Iterator[dict]:
-        d, n = self.dataset, self.yielded
+        d = self.dataset
         if not d.resample:
-            yield from d.rows(1, n)
-            return
-        if any(s.kind in ("shuffle", "batch", "assemble") for s in d.stages):
-            raise UnsupportedResumeError("[UnsupportedResume] stages that reach over rounds need a number of rounds: use rows(rounds=...) or a stream")
-        rounds = 1
-        while True:  # rows of more and more rounds, from where the last ended
-            got = 0
-            for row in d.rows(rounds, n):
-                yield row
-                got += 1
-            if not got and rounds > 1:
-                return
-            n += got
-            rounds += 1
+            yield from d.rows(1, self.yielded)
+        elif d._row_by_row:
+            # a round after the other; a row of the source is read once
+            while True:
+                first = self.yielded
+                yield from d.rows(range(self.round, self.round + 1), first)
+                if self.yielded == first and not d._any():
+                    return
+                self.round += 1
+        else:
+            # stages reach over rounds: twice as many rounds each time, from where the last ended, so that no more than twice the rows are read
+            while True:
+                first = self.yielded
+                yield from d.rows(self.round + 1, first, ends=False)
+                if self.yielded == first and not d._any():
+                    return
+                self.round = 2 * self.round + 1
 
     def __iter__(self) -> DatasetIterator:
         return self
@@ -510,9 +576,24 @@ class DatasetIterator:
         self.yielded += 1
         return row
 
+    def live_state(self) -> dict:
+        """Where this run is, without the identity of its pipeline."""
+        return {"yielded": self.yielded, "round": self.round}
+
     def state_dict(self) -> dict:
         """Where this run is; None in it if it hasn't begun or is over."""
-        return identity.envelope(self._own(), None if self.ended or not self.yielded else {"yielded": self.yielded})
+        return identity.envelope(self._own(), None if self.ended or not self.yielded else self.live_state())
+
+    def load_state_dict(self, state: dict) -> None:
+        """Go on from a state, or from a ``live_state``."""
+        if isinstance(state, dict) and {"version", "identity", "state"} <= state.keys():
+            state = identity.opened(self._own(), state)
+            if state is None:
+                raise identity.ResumeStateError("[InvalidResumeState] an iterator can't go on from a state of None")
+        if not isinstance(state, dict) or "identity" in state or not isinstance(state.get("yielded"), int) or state["yielded"] < 0:
+            raise identity.ResumeStateError("[InvalidResumeState] the state must say how many items were given out")
+        self.active = True
+        self._begin(state)
 
 
 __all__ = ["Dataset", "DatasetIterator", "Stage", "UnsupportedResumeError"]

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.functions.permute import M64
+from grainmill.functions.permute import M64, mix_seed
 from grainmill.operators.order import POS, ROUND, SLOT, ChunkShuffle
 from grainmill.plans.context import RuntimeContext
 from grainmill.plans.dataset import Dataset
@@ -220,9 +220,8 @@ def global_shuffle_positions(spark, sf):
 
 
 def _chunk_sql() -> str:
-    rows = [(n, i, int(c)) for n in (1500, 15_000, 150_000) for i, c in enumerate(ChunkShuffle(CHUNK).chunks(n, SEED, 0))]
-    return f"""WITH o(n, nth, chunk) AS (VALUES {", ".join(map(str, rows))}), c AS (SELECT count(*) AS n FROM orders)
-SELECT o_orderkey, row_number() OVER (ORDER BY nth, o_orderkey) - 1 AS pos FROM orders, c JOIN o USING (n) WHERE chunk = o_orderkey // {CHUNK}"""
+    chunks = permutation_sql(f"SELECT (count(*) + {CHUNK - 1}) // {CHUNK} FROM orders", mix_seed(SEED, 0, 0))
+    return f"SELECT o_orderkey, row_number() OVER (ORDER BY p, o_orderkey) - 1 AS pos FROM orders JOIN ({chunks}) ON v = o_orderkey // {CHUNK}"
 
 
 @query(_chunk_sql())
@@ -527,13 +526,28 @@ def balance_dummy(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE doc_id > 9")
 def resume_continue(spark, sf):
-    """Give out ten rows, save the state, go on from it."""
-    d = _data(spark, sf, "documents", columns=["doc_id"])
+    """Give out ten rows, save the state, and go on from it with a dataset made anew."""
+    build = lambda: _data(spark, sf, "documents", columns=["doc_id"])
+    d = build()
     it = iter(d)
     for _ in range(10):
         next(it)
-    again = d.load_state_dict(it.state_dict())
-    return d.frame().where(F.col(POS) >= again.pending["yielded"]).select("doc_id")
+    again = build().load_state_dict(d.state_dict())
+    return spark.createDataFrame([(r["doc_id"],) for r in again], "doc_id long")
+
+
+@query("SELECT list(s_suppkey ORDER BY i) AS ids, CAST(b AS BIGINT) AS pos FROM (SELECT s_suppkey, r * n + s_suppkey AS i, (r * n + s_suppkey) // 7 AS b FROM supplier, (SELECT count(*) AS n FROM supplier), (SELECT unnest(range(4)) AS r)) WHERE b < (SELECT 4 * count(*) // 7 FROM supplier) GROUP BY b")
+def resampled_batches_resumed(spark, sf):
+    """Batches of 7 of a source that is repeated, over the ends of rounds; half-way the state is saved and a dataset made anew goes on."""
+    size = lambda c: {"ids": F.transform(c, lambda x: x["s_suppkey"])}
+    build = lambda: _data(spark, sf, "supplier", resample=True, columns=["s_suppkey"]).batch(7, collate_fn=size)
+    d = build()
+    want = 4 * d.source.rows // 7
+    it = iter(d)
+    got = [next(it)["ids"] for _ in range(want // 2)]
+    it = iter(build().load_state_dict(it.state_dict()))
+    got += [next(it)["ids"] for _ in range(want - len(got))]
+    return spark.createDataFrame([([int(x) for x in b], i) for i, b in enumerate(got)], "ids array<long>, pos long")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainmill.session import attach, small
-from grainmill.sources.paths import local, logical
+from grainmill.sources.paths import local, logical, read_from
 
 UNIT, ROW = "__unit__", "__row__"
 FOOTER_THREADS = 16
@@ -90,7 +90,7 @@ def scan_parquet(spark: SparkSession, units: Sequence[Unit], columns: Sequence[s
     paths = list(dict.fromkeys(u.path for u in units))
     df = spark.read.parquet(*paths)
     data = df.columns if columns is None else [c for c in columns]
-    df = df.select(*[df[c] for c in data], F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("__at__"), F.col("_metadata.row_index").alias("__index_in_file__"))
+    df = df.select(*[df[c] for c in data], read_from().alias("__at__"), F.col("_metadata.row_index").alias("__index_in_file__"))
     rows = [(i, os.path.abspath(local(u.path)) if "://" not in local(u.path) else u.path, u.path, u.first, u.first + (u.rows or 0)) for i, u in enumerate(units)]
     table = spark.createDataFrame(rows, f"{UNIT} int, __path__ string, __file__ string, __from__ long, __to__ long")
     on = (F.col("__at__") == F.col("__path__")) & (F.col("__index_in_file__") >= F.col("__from__")) & (F.col("__index_in_file__") < F.col("__to__"))

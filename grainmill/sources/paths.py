@@ -8,6 +8,9 @@ import re
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _RANGE = re.compile(r"(.*)\{(\d+)\.\.(\d+)\}(.*)", re.S)
 
 
@@ -40,6 +43,12 @@ def local(path: str) -> str:
     return path[7:] if path.startswith("file:///") else path[5:] if path.startswith("file:/") else path
 
 
+def read_from() -> Column:
+    """The path of the file that a row was read from, as ``local`` gives it: Spark has it as an address, in which spaces and the like are escaped."""
+    at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    return F.url_decode(F.regexp_replace(at, "\\+", "%2B"))  # a plus stands for itself
+
+
 def logical(paths: Sequence[str]) -> list[str]:
     """Paths relative to their common folder: the same wherever the data are mounted."""
     if len(paths) == 1:

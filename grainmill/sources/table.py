@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from grainmill.session import small
 from grainmill.sources.files import files_of, footers
-from grainmill.sources.paths import local
+from grainmill.sources.paths import local, read_from
 
 
 @dataclass(frozen=True)
@@ -141,15 +141,22 @@ def discover(uris: Sequence[str], refs: dict | None = None) -> TableSource:
     return TableSource(tuple(out), refs or {})
 
 
-def scan(spark: SparkSession, source: TableSource, columns: Sequence[str] | None = None, meta: bool = True) -> DataFrame:
-    """Rows with ``__file__, __local_index__, __global_index__, __key__``. The table of files (a row each) is broadcast if it is short."""
+def scan(spark: SparkSession, source: TableSource, columns: Sequence[str] | None = None, meta: bool = True, within: range | None = None) -> DataFrame:
+    """Rows with ``__file__, __local_index__, __global_index__, __key__``. The table of files (a row each) is broadcast if it is short.
+
+    ``within``: only files that hold a row of this range of ``__global_index__`` are read.
+    """
     rows, paths = [], []
     for t in source.tables:
         before = 0
         for p in t.parts:
-            rows.append((os.path.abspath(local(p.path)), t.uri, before, t.offset))
-            paths.append(p.path)
+            at = before + t.offset
+            if within is None or (at < within.stop and at + p.rows > within.start):
+                rows.append((os.path.abspath(local(p.path)), t.uri, before, t.offset))
+                paths.append(p.path)
             before += p.rows
+    if not paths and within is not None:
+        return scan(spark, source, columns, meta).where("false")
     if not paths:
         raise ValueError("[EmptyLanceSource] the tables have no files")
     df = spark.read.parquet(*dict.fromkeys(paths))
@@ -158,7 +165,7 @@ def scan(spark: SparkSession, source: TableSource, columns: Sequence[str] | None
         at = F.col("_metadata.row_index")
         df = df.select(*[df[c] for c in data], F.lit(rows[0][1]).alias("__file__"), (at + rows[0][2]).alias("__local_index__"), (at + rows[0][2] + rows[0][3]).alias("__global_index__"))
     else:
-        df = df.select(*[df[c] for c in data], F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("__at__"), F.col("_metadata.row_index").alias("__i__"))
+        df = df.select(*[df[c] for c in data], read_from().alias("__at__"), F.col("_metadata.row_index").alias("__i__"))
         files = spark.createDataFrame(rows, "__path__ string, __file__ string, __before__ long, __offset__ long")
         df = df.join(small(files), F.col("__at__") == F.col("__path__"))
         df = df.withColumn("__local_index__", F.col("__before__") + F.col("__i__")).withColumn("__global_index__", F.col("__local_index__") + F.col("__offset__"))

@@ -6,6 +6,8 @@ import tarfile
 import io
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,100 @@ def test_repeated_source_iterates_on(spark, sf):
         d.snapshot()
 
 
+@pytest.mark.parametrize("folder", ["a b", "a%b", "a+b", "a%20b", "größe", "a#b"])
+def test_paths_with_special_characters(spark, tmp_path, folder):
+    at = tmp_path / folder
+    at.mkdir()
+    for i in range(3):
+        pq.write_table(pa.table({"x": range(10 * i, 10 * i + 10)}), at / f"{i}.parquet", row_group_size=5)
+    (at / "r.jsonl").write_text("\n".join(f'{{"x": {i}}}' for i in range(30)))
+    with tarfile.open(at / "s.tar", "w") as tar:
+        for i in range(5):
+            info = tarfile.TarInfo(f"{i}.x")
+            info.size = 1
+            tar.addfile(info, io.BytesIO(b"1"))
+    files = [str(at / f"{i}.parquet") for i in range(3)]
+    c = RuntimeContext()
+    assert sorted(r["x"] for r in Dataset.from_source("parquet", files, c)) == list(range(30))
+    assert [r["x"] for r in Dataset.from_source("table", files, c)] == list(range(30))
+    assert [r["x"] for r in Dataset.from_source("table", str(at / "0.parquet"), c)] == list(range(10))
+    assert [r["x"] for r in Dataset.from_source("jsonl", str(at / "r.jsonl"), c, shuffle_mode="none")] == list(range(30))
+    assert len(list(Dataset.from_source("tar", str(at / "s.tar"), c, fields=["x"]))) == 5
+
+
+def _numbers(tmp_path, n=30, files=6):
+    for i in range(files):
+        pq.write_table(pa.table({"x": range(n // files * i, n // files * (i + 1))}), tmp_path / f"{i}.parquet")
+    return [str(tmp_path / f"{i}.parquet") for i in range(files)]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "table"])
+@pytest.mark.parametrize("stage", ["none", "map", "shuffle", "batch", "assemble"])
+def test_endless_reads_go_over_the_ends_of_rounds(spark, tmp_path, kind, stage):
+    at = _numbers(tmp_path)
+
+    def build():
+        d = Dataset.from_source(kind, at, RuntimeContext(rank=1, world_size=2, seed=3), True, **({"shuffle_mode": "global"} if kind == "table" else {}))
+        return {"none": lambda: d, "map": lambda: d.map({"x": "x + 1"}), "shuffle": lambda: d.shuffle(8), "batch": lambda: d.batch(4), "assemble": lambda: d.assemble(_Pairs, "a long, b long")}[stage]()
+
+    take = lambda it, n: [next(it) for _ in range(n)]
+    n = {"batch": 18, "assemble": 34}.get(stage, 70)
+    whole = take(iter(build()), n)
+    rounds = list(build().rows(8, ends=False))  # 8 rounds of 15 rows each, in one go
+    assert whole == rounds[:n] and len(rounds) >= n
+    it = iter(build())
+    first = take(it, n // 2)
+    state = json.loads(json.dumps(it.state_dict()))
+    assert first + take(iter(build().load_state_dict(state)), n - len(first)) == whole
+    other = iter(build())
+    other.load_state_dict(it.live_state())
+    assert take(other, n - len(first)) == whole[len(first) :]
+
+
+class _Pairs:
+    def __init__(self):
+        self.held = []
+
+    def push(self, row):
+        self.held.append(row["x"])
+        if len(self.held) == 2:
+            a, b = self.held
+            self.held = []
+            yield {"a": a, "b": b}
+
+    def finish(self, *, drop_last=False):
+        return [] if drop_last or not self.held else [{"a": self.held[0], "b": None}]
+
+
+def test_a_rank_reads_its_own_files(spark, tmp_path):
+    at = _numbers(tmp_path)
+    d = Dataset.from_source("parquet", at, RuntimeContext(rank=1, world_size=3), shuffle_mode="none")
+    assert len(d.frame(slot=1).inputFiles()) == 2 and len(d.frame().inputFiles()) == 6
+    assert [r["x"] for r in d] == [*range(5, 10), *range(20, 25)]
+    assert len(d.frame(slot=1, start=7).inputFiles()) == 1  # what comes before a resumed place is not read
+    assert [r["x"] for r in d.rows(1, 7)] == [22, 23, 24]
+    t = Dataset.from_source("table", at, RuntimeContext())
+    half = t.split([0.5, 0.5])[1]
+    assert len(half.frame().inputFiles()) == 3 and [r["x"] for r in half] == list(range(15, 30))
+
+
+def test_state_of_a_dataset(spark, tmp_path):
+    d = Dataset.from_source("table", _numbers(tmp_path), RuntimeContext())
+    assert d.state_dict()["state"] is None
+    it = iter(d)
+    first = [next(it) for _ in range(3)]
+    state = d.state_dict()
+    rest = list(it)
+    assert d.state_dict()["state"] is None  # it is over
+    d.load_state_dict(state)
+    assert list(d) == rest and list(d) == first + rest
+    with pytest.raises(ResumeStateError, match="InvalidResumeState"):
+        iter(d).load_state_dict(d.state_dict())
+    for bad in ({}, {"yielded": -1}, {"yielded": "x"}, {"yielded": 1, "identity": {}}, None):
+        with pytest.raises(ResumeStateError, match="InvalidResumeState"):
+            iter(d).load_state_dict(bad)
+
+
 def test_loader(spark, sf):
     d = _data(spark, sf, "events", columns=["event_id"])
     with pytest.raises(ValueError):

@@ -94,8 +94,11 @@ def test_golden_merges():
 
 def test_random_merges_use_every_row_once():
     for w in (None, (2, 1)):
-        p = mixing.random_picks((40, 25), w, 11)
-        assert (p == mixing.random_picks((40, 25), w, 11)).all() and np.bincount(p).tolist() == [40, 25]
+        p = list(mixing.random_picks((40, 25), w, 11))
+        assert p == list(mixing.random_picks((40, 25), w, 11)) and np.bincount(p).tolist() == [40, 25]
+        rows = [x for s, n, at in mixing.schedule((40, 25), w, 11, 9) for x in zip(s, n, at)]
+        assert [s for s, _, _ in rows] == p and [a for _, _, a in rows] == list(range(65))
+        assert all([n for s, n, _ in rows if s == i] == list(range(c)) for i, c in enumerate((40, 25)))
 
 
 def _buffer(count, size, initial, seed):
@@ -124,7 +127,11 @@ def _buffer(count, size, initial, seed):
 @given(st.integers(0, 60), st.integers(1, 20), st.one_of(st.none(), st.integers(1, 20)), st.integers(0, 5))
 @settings(max_examples=150, deadline=None)
 def test_reservoir(count, size, initial, seed):
-    got = stages.reservoir(count, size, initial, seed)
+    got = list(stages.reservoir(count, size, initial, seed))
+    # rows that come after don't change what is given out before they are needed
+    more = list(stages.reservoir(count + 7, size, initial, seed))
+    first = list(stages.reservoir(count, size, initial, seed, ends=False))
+    assert more[: len(first)] == first and len(first) >= count - size - 1
     assert sorted(got) == list(range(count))
     assert got == _buffer(count, size, initial, seed)
 
