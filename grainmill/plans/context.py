@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -111,7 +112,7 @@ class RuntimeContext:
 
     @classmethod
     def from_runtime(cls, *, base: RuntimeContext | None = None, seed: int = 0, env: Mapping[str, str] | None = None, mesh: DataLoadMesh | None = None, device_mesh: object | None = None, dp_dims: str | Sequence[str] | None = None) -> RuntimeContext:
-        """From the launcher's environment (RANK, WORLD_SIZE, ...); ``base`` gives seed, mesh and epoch."""
+        """From torch's process group and worker, if the program has them, else the launcher's environment (RANK, WORLD_SIZE, ...); ``base`` gives seed, mesh and epoch."""
         if mesh is not None and device_mesh is not None:
             raise ValueError("give mesh or device_mesh, not both")
         if device_mesh is not None:
@@ -122,10 +123,19 @@ class RuntimeContext:
             raise ValueError("dp_dims needs device_mesh")
         e = os.environ if env is None else env
         rank, world = int(e.get("RANK", 0)), int(e.get("WORLD_SIZE", 1))
+        worker, workers = int(e.get("WORKER", 0)), int(e.get("NUM_WORKERS", 1))
+        torch = sys.modules.get("torch") if env is None else None  # asked if the program uses it, never imported for this
+        if torch is not None:
+            group = getattr(torch, "distributed", None)
+            if group is not None and group.is_available() and group.is_initialized():
+                rank, world = group.get_rank(), group.get_world_size()
+            info = torch.utils.data.get_worker_info()
+            if info is not None:
+                worker, workers = info.id, info.num_workers
         local, local_world = int(e.get("LOCAL_RANK", rank)), int(e.get("LOCAL_WORLD_SIZE", world))
         made = cls(
             rank=rank, world_size=world, local_rank=local, local_world_size=local_world,
             node_rank=int(e.get("NODE_RANK", rank // max(1, local_world))), num_nodes=max(1, -(-world // max(1, local_world))),
-            worker_id=int(e.get("WORKER", 0)), num_workers=int(e.get("NUM_WORKERS", 1)), seed=seed, mesh=mesh,
+            worker_id=worker, num_workers=workers, seed=seed, mesh=mesh,
         )
         return made if base is None else replace(made, seed=base.seed, mesh=mesh or base.mesh, epoch=base.epoch)

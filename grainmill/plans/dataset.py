@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import warnings
 import weakref
 from collections.abc import Callable, Iterator, Sequence
@@ -449,6 +450,9 @@ class Dataset:
             if not list((folder / "rows").rglob("*.parquet")):
                 f.drop(POS, SLOT).limit(0).coalesce(1).write.mode("overwrite").parquet(f"file://{folder}/rows")
 
+        named = self.spark.conf.get("spark.checkpoint.dir", None)
+        if config is None and named and "://" not in paths.local(named) and not os.environ.get("GRAINMILL_CACHE_DIR"):
+            config = cache.CacheConfig(os.path.join(paths.local(named), "grainmill-cache"))  # the folder that all executors share
         e = cache.CacheManager(config).ensure(print_, "snapshot", 1, {"slots": upstream.context.total_slots}, build)
         slot_of = lambda p: int(p.parent.name.partition("=")[2] or 0)
         parts = sorted(e.path.rglob("*.parquet"), key=lambda p: (slot_of(p), p.name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator, Sequence
 
 import pyarrow.parquet as pq
@@ -29,8 +30,17 @@ def iter_jsonls(paths: Sequence[str]) -> Iterator[dict]:
                 yield {**row, "__file__": path, "__index_in_file__": i}
 
 
-def iter_parquet(path: str, columns: Sequence[str] | None = None, row_group: int | None = None, batch_size: int = 65_536) -> Iterator[dict]:
-    """Rows of a file, or of one of its row groups."""
+def parquet_batch_size(given: int | None = None) -> int:
+    raw = os.environ.get("GRAINMILL_PARQUET_BATCH_SIZE", "65536") if given is None else given
+    size = int(raw) if isinstance(raw, str) and raw.strip().isdigit() else raw
+    if isinstance(size, bool) or not isinstance(size, int) or size < 1:
+        raise ValueError(f"[InvalidParquetBatchSize] must be a whole number from 1, got {raw!r}")
+    return size
+
+
+def iter_parquet(path: str, columns: Sequence[str] | None = None, row_group: int | None = None, batch_size: int | None = None) -> Iterator[dict]:
+    """Rows of a file, or of one of its row groups. They are read ``batch_size`` at a time: the argument, else GRAINMILL_PARQUET_BATCH_SIZE, else 65,536."""
+    batch_size = parquet_batch_size(batch_size)
     with pq.ParquetFile(local(path)) as f:
         i = sum(f.metadata.row_group(g).num_rows for g in range(row_group or 0))
         for b in f.iter_batches(batch_size, row_groups=None if row_group is None else [row_group], columns=None if columns is None else list(columns)):

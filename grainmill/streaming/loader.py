@@ -6,8 +6,9 @@ before it, and workers that are through are passed over. Only the counts of work
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from grainmill.operators import balance as balancing
 from grainmill.operators import stages
 from grainmill.operators.order import POS, ROUND, SLOT
+from grainmill.plans import codecs, identity
 from grainmill.plans.dataset import Dataset, UnsupportedResumeError
 
 
@@ -45,6 +47,7 @@ class Loader:
     prefetch_factor: int | None = None
     multiprocessing_context: object = None
     stages: tuple = ()
+    pending: dict | None = None
 
     def __post_init__(self) -> None:
         if not isinstance(self.dataset, Dataset):
@@ -61,7 +64,7 @@ class Loader:
             raise ValueError("drop_last and collate_fn need batch_size")
 
     def _then(self, apply: Callable[[DataFrame], DataFrame]) -> Loader:
-        return replace(self, stages=(*self.stages, apply))
+        return replace(self, stages=(*self.stages, apply), pending=None)
 
     def map(self, fn: Callable[[dict], dict] | dict[str, Column | str], schema: str | T.StructType | None = None) -> Loader:
         if isinstance(fn, dict):
@@ -101,10 +104,59 @@ class Loader:
             f = s(f)
         return f
 
-    def __iter__(self) -> Iterator[dict]:
-        f = self.frame()
-        for r in f.orderBy(POS).select(*stages.data_columns(f)).toLocalIterator(prefetchPartitions=True):
-            yield r.asDict(recursive=True)
+    def __iter__(self) -> LoaderIterator:
+        made = LoaderIterator(self, self.pending)
+        object.__setattr__(self, "pending", None)
+        object.__setattr__(self, "_last", weakref.ref(made))
+        return made
+
+    def identity(self) -> dict:
+        """The dataset's, with all that the loader's results depend on."""
+        own = {f.name: identity.identity(getattr(self, f.name)) for f in fields(self) if f.name not in ("dataset", "pending")}
+        return self.dataset.identity() | {"loader": own}
+
+    def state_dict(self) -> dict:
+        """The state of the iteration that is under way; None in it if there is none."""
+        it = getattr(self, "_last", lambda: None)()
+        return identity.envelope(self.identity(), None) if it is None or it.ended else it.state_dict()
+
+    def load_state_dict(self, state: dict) -> Loader:
+        """The next iteration goes on where the state was taken. Returns the loader."""
+        object.__setattr__(self, "pending", identity.opened(self.identity(), state))
+        return self
+
+
+class LoaderIterator:
+    """One run over a loader's stream."""
+
+    def __init__(self, loader: Loader, state: dict | None) -> None:
+        self.loader, self.yielded, self.ended = loader, (state or {}).get("yielded", 0), False
+        self._it = self._items()
+
+    def _items(self) -> Iterator[dict]:
+        f = self.loader.frame()
+        rows = f.where(F.col(POS) >= self.yielded).orderBy(POS).select(*stages.data_columns(f))
+        for r in rows.toLocalIterator(prefetchPartitions=True):
+            yield codecs.decode(r.asDict(recursive=True))
+
+    def __iter__(self) -> LoaderIterator:
+        return self
+
+    def __next__(self) -> dict:
+        try:
+            row = next(self._it)
+        except StopIteration:
+            self.ended = True
+            raise
+        self.yielded += 1
+        return row
+
+    def live_state(self) -> dict:
+        return {"yielded": self.yielded}
+
+    def state_dict(self) -> dict:
+        """Where this run is; None in it if it hasn't begun or is over."""
+        return identity.envelope(self.loader.identity(), None if self.ended or not self.yielded else self.live_state())
 
 
 def all_ranks(loaders: Sequence[Loader]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import tarfile
 import io
 
@@ -372,6 +373,43 @@ def test_loader(spark, sf):
         loading.balance(d.frame(), ranks=2, drop_last=False)
 
 
+def test_loader_resumes(spark, sf):
+    def build(size=16):
+        return Loader(_data(spark, sf, "events", columns=["event_id"]), num_workers=3, batch_size=size).unbatch().shuffle(20).batch(7)
+
+    whole = list(build())
+    loader = build()
+    it = iter(loader)
+    first = [next(it) for _ in range(40)]
+    for state in (it.state_dict(), loader.state_dict()):
+        assert first + list(build().load_state_dict(json.loads(json.dumps(state)))) == whole
+    assert build().state_dict()["state"] is None
+    rest = list(it)
+    assert first + rest == whole and it.state_dict()["state"] is None
+    with pytest.raises(ResumeStateError, match="ResumeIdentityMismatch"):
+        build(17).load_state_dict(loader.state_dict())
+
+
+def test_parquet_batch_size(monkeypatch, spark, tmp_path):
+    at = _numbers(tmp_path)[0]
+    monkeypatch.setenv("GRAINMILL_PARQUET_BATCH_SIZE", "2")
+    assert readers.parquet_batch_size() == 2 and readers.parquet_batch_size(9) == 9
+    assert [r["x"] for r in readers.iter_parquet(at)] == list(range(5))
+    for bad in ("0", "x", "-1", ""):
+        monkeypatch.setenv("GRAINMILL_PARQUET_BATCH_SIZE", bad)
+        with pytest.raises(ValueError, match="InvalidParquetBatchSize"):
+            list(readers.iter_parquet(at))
+
+
+def test_context_asks_torch_if_the_program_has_it(monkeypatch):
+    from types import SimpleNamespace as N
+
+    group = N(is_available=lambda: True, is_initialized=lambda: True, get_rank=lambda: 3, get_world_size=lambda: 8)
+    monkeypatch.setitem(sys.modules, "torch", N(distributed=group, utils=N(data=N(get_worker_info=lambda: N(id=1, num_workers=4)))))
+    c = RuntimeContext.from_runtime()
+    assert (c.rank, c.world_size, c.worker_id, c.num_workers) == (3, 8, 1, 4)
+
+
 def test_stream_goes_on_where_it_was(spark, sf, tmp_path):
     d = _data(spark, sf, "supplier", 2, resample=True, shuffle_mode="global", columns=["s_suppkey"])
     assert d.source.rows == 10
