@@ -183,3 +183,24 @@ def drop(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_words:
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs
+
+
+def sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for ``find`` where doc_ids are unique: all windows joined."""
+    parts = "regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+')"
+    return rf"""
+WITH d AS (SELECT doc_id, {parts} AS p FROM documents WHERE text IS NOT NULL),
+ x AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS k FROM d),
+ o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS pos FROM x),
+ g AS (SELECT doc_id, list(lower(piece) ORDER BY k) AS ws, list(pos ORDER BY k) AS ats, list(pos + length(piece) ORDER BY k) AS ends
+       FROM o WHERE regexp_full_match(piece, '[\p{{L}}\p{{N}}]+') GROUP BY doc_id),
+ b AS (SELECT item_id, list_transform(list_filter({parts}, lambda x: regexp_full_match(x, '[\p{{L}}\p{{N}}]+')), lambda x: lower(x)) AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+ q AS (SELECT DISTINCT item_id, least({window}, len(ws)) AS n, unnest(list_transform(range(1, greatest(1, len(ws) - {window - 1}) + 1), lambda i: array_to_string(ws[i:i + {window - 1}], ' '))) AS w FROM b WHERE len(ws) > 0),
+ l AS (SELECT DISTINCT n FROM q),
+ v AS (SELECT doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS w, unnest(range(len(ws) - n + 1)) AS i,
+       unnest(ats[1:len(ws) - n + 1]) AS lo, unnest(ends[n:len(ws)]) AS hi FROM g, l WHERE len(ws) >= n),
+ m AS (SELECT doc_id, item_id, i, i + n AS j, lo, hi FROM v JOIN q USING (n, w)),
+ s AS (SELECT *, CASE WHEN i > max(j) OVER (PARTITION BY doc_id, item_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM m),
+ t AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM s),
+ r AS (SELECT doc_id, item_id, CAST(min(lo) AS INT) AS start, CAST(max(hi) AS INT) AS "end" FROM t GROUP BY doc_id, item_id, run)
+SELECT r.*, substring(text, start + 1, "end" - start) AS matched FROM r JOIN documents USING (doc_id)"""

@@ -318,3 +318,17 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         answers = known.groupBy("part").cogroup(asks.groupBy("part")).applyInArrow(answer, told)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ADDED[1:])])
     return chunks.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tell, schema)
+
+
+def sql(mu: float = MU) -> str:
+    """DuckDB SQL for ``score`` of the documents that the models are of, where doc_ids are unique: every bigram by itself."""
+    loss = lambda c, n: f"round_even(-ln((p.{c} + {mu} * (o.{c} + 1) / ({n} + words + 2)) / (b.{c} + {mu})) * {1 / GRAIN}, 0) * {GRAIN}"
+    count = "count(*) FILTER (good) AS t, count(*) FILTER (NOT good) AS b"
+    return rf"""
+WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality > 0) AS good, coalesce(regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS ws FROM documents),
+ g AS (SELECT doc_id, coalesce(good, false) AS good, unnest(ws) AS w, unnest(list_concat([''], ws[1:len(ws) - 1])) AS v FROM d WHERE len(ws) > 0),
+ p AS (SELECT v, w, {count} FROM g GROUP BY v, w), b AS (SELECT v, {count} FROM g GROUP BY v), o AS (SELECT w, {count} FROM g GROUP BY w),
+ n AS (SELECT count(DISTINCT w) AS words, count(*) FILTER (good) AS nt, count(*) FILTER (NOT good) AS nb FROM g),
+ s AS (SELECT g.doc_id, sum({loss("t", "nt")}) AS t, sum({loss("b", "nb")}) AS b FROM g JOIN p USING (v, w) JOIN b USING (v) JOIN o USING (w), n GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, t / len(ws) AS target_loss, b / len(ws) AS background_loss, t / len(ws) - b / len(ws) AS score
+FROM d LEFT JOIN s USING (doc_id)"""

@@ -60,4 +60,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html, op2_topk, op3_simhash, op4_lm, op5_licenses, op6_toxicity, op7_language, op8_decontaminate, op9_suffix_dedup, op10_mix)
 }
 
-SQL: dict[str, str] = {"op2_topk": topk.sql(), "op10_mix": mixing.sql()}
+SQL: dict[str, str] = {"op2_topk": topk.sql(), "op4_lm": lm.sql(), "op8_decontaminate": decontam.sql(), "op9_suffix_dedup": suffix.sql(), "op10_mix": mixing.sql()}

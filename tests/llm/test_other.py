@@ -319,9 +319,11 @@ def test_mix_meets_its_targets(spark):
 def test_queries_match_their_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    assert got(df.select(*[c for c in df.columns])) == sorted(con.execute(queries.SQL[name]).fetchall(), key=repr)
+    want = con.execute(queries.SQL[name])
+    assert [c[0] for c in want.description] == df.columns
+    assert got(df) == sorted(want.fetchall(), key=repr)
 
 
 def test_all_ten_are_there():
