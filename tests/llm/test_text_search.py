@@ -202,6 +202,7 @@ def _covered(found, rows, removed):
 @pytest.mark.parametrize(("seed", "keys", "hot"), [(1, suffix.MAX_KEYS, suffix.HOT), (2, suffix.MAX_KEYS, 3), (3, 5, suffix.HOT), (4, 0, 0)])
 def test_passages_match_brute_force(spark, seed, keys, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SHARD_KEYS", 40)
     rng = random.Random(seed)
     pool = [prose(rng, rng.randint(10, 80)) for _ in range(8)]
     rows = []
