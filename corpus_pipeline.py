@@ -1,7 +1,10 @@
 """A cleaning pipeline for ``documents``: toxicity, near-dedup, passage dedup, decontamination, then mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its ``docs``; ``run`` writes each stage's result to the shared folder as
-Parquet and reads it again as the next one's input, so a lost executor costs a stage's tasks at most.
+Parquet and reads it again as the next one's input, so a lost executor costs a stage's tasks at most. What a stage read is deleted once its result is written.
+
+The stages go by the columns of ``documents``: doc_id (an integer), text, lang, source, n_chars, and return no others, whatever else the input has; the last adds ``copy``.
+Nulls, empty texts, repeated rows and empty tables are each operator's defined cases: rows without an id or a text pass the stages that can't judge them.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: Neither the classifier chain nor the fingerprints can be put in SQL; the tests compare with brute force.
+#: Neither the classifier chain nor the fingerprints can be put in SQL; the tests compare with a version in plain Python.
 ORACLE_SQL: str | None = None
 
 
@@ -63,4 +66,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if k:
+            _delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
