@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.session import small
 
 
+#: Runs that each task may hold (32 bytes each).
+RUNS = 2_000_000
+
+
 @dataclass(frozen=True)
 class RankStatus:
     rank: int
@@ -137,13 +143,39 @@ def schedule(counts: dict[int, int], nodes: dict[int, int] | None = None, *, chu
 
 
 def balance(df: DataFrame, rank: str, pos: str, nodes: dict[int, int] | None = None, ranks: Sequence[int] | None = None, **params) -> tuple[DataFrame, dict[int, int]]:
-    """Rows with ``__rank__``, the rank that they go to; rows left over are dropped. Also the dummies that each rank has to add.
+    """Rows with ``__rank__``, the rank that they go to, and ``__place__``, their place there; rows left over are dropped. Also the dummies that each rank has to add.
 
-    Only counts per rank come to the driver; the plan is joined as a table of runs.
+    Only counts per rank come to the driver. The runs of a rank lie end to end, so each row finds its own by bisection; if there are very many, they are a table that is joined.
     """
     counts = {r[0]: r[1] for r in df.groupBy(rank).count().collect()}
     counts = {r: counts.get(r, 0) for r in (ranks if ranks is not None else sorted(counts))}
     runs, dummies = schedule(counts, nodes, **params)
-    table = df.sparkSession.createDataFrame([(r, a, a + n, to) for r, a, n, to in runs], "__from__ int, __lo__ long, __hi__ long, __rank__ int")
-    on = (F.col(rank) == F.col("__from__")) & (F.col(pos) >= F.col("__lo__")) & (F.col(pos) < F.col("__hi__"))
-    return df.join(small(table), on).drop("__from__", "__lo__", "__hi__"), dummies
+    given = dict.fromkeys(counts, 0)
+    rows: list[tuple[int, int, int, int, int]] = []
+    for r, a, n, to in runs:
+        rows.append((r, a, a + n, to, given[to]))
+        given[to] += n
+    if len(rows) > RUNS:
+        table = df.sparkSession.createDataFrame(rows, "__from__ int, __lo__ long, __hi__ long, __rank__ int, __first__ long")
+        on = (F.col(rank) == F.col("__from__")) & (F.col(pos) >= F.col("__lo__")) & (F.col(pos) < F.col("__hi__"))
+        joined = df.join(small(table), on).withColumn("__place__", F.col("__first__") + F.col(pos) - F.col("__lo__"))
+        return joined.drop("__from__", "__lo__", "__hi__", "__first__"), dummies
+    of = {r: np.array([x[1:] for x in rows if x[0] == r], np.int64).reshape(-1, 4) for r in counts}
+
+    @F.pandas_udf("__rank__ int, __place__ long")
+    def goes(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for s, p in it:
+            s, p = s.to_numpy(), p.to_numpy()
+            to, at = np.full(len(s), -1, np.int64), np.zeros(len(s), np.int64)
+            for r in np.unique(s):
+                mine = of.get(int(r))
+                k = np.flatnonzero(s == r)
+                if mine is None or not len(mine):
+                    continue
+                i = np.searchsorted(mine[:, 0], p[k], "right") - 1
+                ok = (i >= 0) & (p[k] < mine[i, 1])
+                to[k[ok]], at[k[ok]] = mine[i[ok], 2], mine[i[ok], 3] + p[k[ok]] - mine[i[ok], 0]
+            yield pd.DataFrame({"__rank__": to.astype(np.int32), "__place__": at})
+
+    moved = df.withColumn("__goes__", goes(F.col(rank), F.col(pos))).select(*df.columns, "__goes__.__rank__", "__goes__.__place__")
+    return moved.where(F.col("__rank__") >= 0), dummies

@@ -32,6 +32,18 @@ def merged(df: DataFrame, workers: int) -> DataFrame:
     return df.withColumn(POS, place.cast("long")).withColumn(SLOT, F.lit(0).cast("int"))
 
 
+@dataclass(frozen=True)
+class Balance:
+    """The arguments of a stage that balances ranks."""
+
+    drop_last: bool
+    dummy_factory: Callable[[], dict] | None
+    buffer_size: int
+    chunk_size: int
+    max_transfer_per_round: int
+    topology: str
+
+
 @dataclass(frozen=True)
 class Loader:
     """Reads a dataset with ``num_workers`` slots of this rank. Arguments are those of a multi-process loader; the ones that tune processes are accepted and have no effect."""
@@ -88,9 +100,37 @@ class Loader:
     def assemble(self, factory: Callable[[], object], schema: str | T.StructType, drop_last: bool = False) -> Loader:
         return self._then(lambda df: stages.assemble(df, factory, schema, drop_last))
 
+    def balance(
+        self, *, drop_last: bool = True, dummy_factory: Callable[[], dict] | None = None, buffer_size: int = 32, chunk_size: int = 16, max_transfer_per_round: int = 16, topology: str = "node"
+    ) -> Loader:
+        """From here on every rank has as many rows: those of all ranks are planned together, and this one keeps what goes to it. Stages may follow."""
+        balancing.check(drop_last, dummy_factory, buffer_size, chunk_size, max_transfer_per_round, topology)
+        made = Balance(drop_last, dummy_factory, buffer_size, chunk_size, max_transfer_per_round, topology)
+        return self._then(made)
+
+    def _balanced(self, upto: int, how: Balance) -> DataFrame:
+        c = self.dataset.context
+        if c.mesh is not None:
+            raise ValueError("balance needs ranks, not a mesh")
+        ranks = range(c.world_size)
+        streams = None
+        for r in ranks:
+            one = replace(self, dataset=self.dataset.at(replace(c, rank=r)), stages=self.stages[:upto], pending=None)
+            f = one.frame().withColumn(SLOT, F.lit(r).cast("int"))
+            streams = f if streams is None else streams.unionByName(f)
+        nodes = {r: r // max(1, c.local_world_size) for r in ranks}
+        out = balance(streams, ranks=c.world_size, nodes=nodes, **{f.name: getattr(how, f.name) for f in fields(how)})
+        return out.where(F.col(SLOT) == c.rank).withColumn(SLOT, F.lit(0).cast("int"))
+
     def frame(self, rounds: int = 1) -> DataFrame:
         """The merged stream of this rank after all stages, with its places."""
         d = self.dataset
+        last = max((i + 1 for i, s in enumerate(self.stages) if isinstance(s, Balance)), default=0)
+        if last:
+            f = self._balanced(last - 1, self.stages[last - 1])
+            for s in self.stages[last:]:
+                f = s(f)
+            return f
         workers = max(1, self.num_workers)
         c = replace(d.context, worker_id=0, num_workers=workers)
         f = d.at(c).frame(rounds)
@@ -110,18 +150,24 @@ class Loader:
         object.__setattr__(self, "_last", weakref.ref(made))
         return made
 
+    def _resumable(self) -> None:
+        if any(isinstance(s, Balance) for s in self.stages):
+            raise UnsupportedResumeError("[UnsupportedResume] balance can't be resumed")
+
     def identity(self) -> dict:
         """The dataset's, with all that the loader's results depend on."""
         own = {f.name: identity.identity(getattr(self, f.name)) for f in fields(self) if f.name not in ("dataset", "pending")}
         return self.dataset.identity() | {"loader": own}
 
     def state_dict(self) -> dict:
-        """The state of the iteration that is under way; None in it if there is none."""
+        """The state of the iteration that is under way; None in it if there is none. A balanced loader has none: what a rank has depends on all others."""
+        self._resumable()
         it = getattr(self, "_last", lambda: None)()
         return identity.envelope(self.identity(), None) if it is None or it.ended else it.state_dict()
 
     def load_state_dict(self, state: dict) -> Loader:
         """The next iteration goes on where the state was taken. Returns the loader."""
+        self._resumable()
         object.__setattr__(self, "pending", identity.opened(self.identity(), state))
         return self
 
@@ -156,6 +202,7 @@ class LoaderIterator:
 
     def state_dict(self) -> dict:
         """Where this run is; None in it if it hasn't begun or is over."""
+        self.loader._resumable()
         return identity.envelope(self.loader.identity(), None if self.ended or not self.yielded else self.live_state())
 
 
@@ -173,20 +220,20 @@ def balance(
 ) -> DataFrame:
     """Equally many outputs for every rank: spare rows move to ranks that lack some, what is left is dropped or filled up with ``dummy_factory()``.
 
-    ``streams``: the slot is the rank, places are dense. The result's slot is the rank that a row goes to; dummies have a null place.
+    ``streams``: the slot is the rank, places are dense. The result's slot is the rank that a row goes to, with a new place there; dummies come last.
     """
     balancing.check(drop_last, dummy_factory, buffer_size, chunk_size, max_transfer_per_round, topology)
     if ranks <= 1:
         return streams
     moved, dummies = balancing.balance(streams, SLOT, POS, nodes, range(ranks), chunk_size=chunk_size, max_transfer=max_transfer_per_round, drop_last=drop_last, topology=topology)
-    out = moved.withColumn(SLOT, F.col("__rank__")).select(*streams.columns)
+    out = moved.withColumn(SLOT, F.col("__rank__")).withColumn(POS, F.col("__place__")).select(*streams.columns)
     if drop_last or not any(dummies.values()):
         return out
-    rows = []
+    rows, had = [], {r[0]: r[1] for r in out.groupBy(SLOT).count().collect()}
     for r, n in dummies.items():
-        for _ in range(n):
-            made = dummy_factory()
-            rows.append(tuple({SLOT: r, ROUND: 0, POS: None}.get(c, made.get(c)) for c in streams.columns))
+        for i in range(n):
+            made = dummy_factory() | {SLOT: r, ROUND: 0, POS: had.get(r, 0) + i}
+            rows.append(tuple(made.get(c) for c in streams.columns))
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in streams.schema.fields])
     return out.unionByName(streams.sparkSession.createDataFrame(rows, loose))
 

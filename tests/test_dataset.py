@@ -390,6 +390,26 @@ def test_loader_resumes(spark, sf):
         build(17).load_state_dict(loader.state_dict())
 
 
+@pytest.mark.parametrize("drop", [True, False])
+def test_balance_is_a_stage_of_the_loader(spark, tmp_path, drop):
+    files = []
+    for i, n in enumerate((50, 9, 20)):
+        pq.write_table(pa.table({"x": range(100 * i, 100 * i + n)}), tmp_path / f"{i}.parquet")
+        files.append(str(tmp_path / f"{i}.parquet"))
+    got = []
+    for r in range(3):
+        d = Dataset.from_source("parquet", files, RuntimeContext(rank=r, world_size=3, local_rank=r, local_world_size=3), shuffle_mode="none", columns=["x"])
+        made = Loader(d).balance(drop_last=drop, dummy_factory=None if drop else lambda: {"x": -1}, buffer_size=4, chunk_size=4)
+        got.append([b["n"] for b in made.map({"n": "x"})])
+        with pytest.raises(loading.UnsupportedResumeError):
+            made.state_dict()
+    assert len({len(g) for g in got}) == 1
+    rows = sorted(x for g in got for x in g if x >= 0)
+    assert len(set(rows)) == len(rows)
+    assert len(rows) == 79 if not drop else 79 - len(rows) < 3
+    assert got[0][:8] == list(range(8))  # each rank begins with its own
+
+
 def test_parquet_batch_size(monkeypatch, spark, tmp_path):
     at = _numbers(tmp_path)[0]
     monkeypatch.setenv("GRAINMILL_PARQUET_BATCH_SIZE", "2")
