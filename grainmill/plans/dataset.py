@@ -357,7 +357,7 @@ class Dataset:
         if self.filters:
             got = {r[0]: r[1] for r in df.groupBy(files.UNIT).count().collect()}
         else:
-            got = files.counted(df, [self.source[u] for u in need])
+            got = files.counted(self.spark, self.kind, [self.source[u] for u in need], o.get("key_dot_level"))
         rows = {u: 0 for u in every} | {u: got.get(i, 0) for i, u in enumerate(need)}
         layout = [x for x in deal(rows) if x[1] in rounds and x[3] + rows[x[0]] > start]
         used = sorted({u for u, *_ in layout}) or need[:1]

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import tarfile
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,18 +99,32 @@ def scan_parquet(spark: SparkSession, units: Sequence[Unit], columns: Sequence[s
     return df.withColumn("__key__", F.concat_ws(":", "__file__", F.col("__index_in_file__").cast("string"))).drop("__at__", "__path__", "__from__", "__to__")
 
 
-def _lines(path: str) -> list[int]:
-    """Offsets at which the lines of a file begin; a last line need not end with a newline."""
-    out, at, open_ = [], 0, True
+def _blocks(path: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each block of a file begins, and where its newlines are in the file."""
+    at = 0
     with open(local(path), "rb") as f:
-        while block := f.read(1 << 20):
-            if open_:
-                out.append(at)
-            open_ = block.endswith(b"\n")
-            ends = [m.end() for m in re.finditer(b"\n", block)]
-            out += [at + e for e in ends if e < len(block)]
+        while block := f.read(1 << 22):
+            yield at + len(block), at + np.flatnonzero(np.frombuffer(block, np.uint8) == 10)
             at += len(block)
-    return out
+
+
+def _lines(path: str) -> int:
+    """How many lines a file has; the last need not end with a newline."""
+    n, end, last = 0, 0, -1
+    for end, ends in _blocks(path):
+        n += len(ends)
+        last = int(ends[-1]) if len(ends) else last
+    return n + (end > last + 1)
+
+
+def _starts(path: str, each: int) -> list[int]:
+    """Where every ``each``-th line of a file begins."""
+    out, n, end = [0], 0, 0
+    for end, ends in _blocks(path):
+        k = n + 1 + np.arange(len(ends))  # the number of the line after each newline
+        out += (ends[k % each == 0] + 1).tolist()
+        n += len(ends)
+    return [x for x in out if x < end]
 
 
 def jsonl_units(paths: Sequence[str], total_slots: int) -> list[Unit]:
@@ -120,16 +135,17 @@ def jsonl_units(paths: Sequence[str], total_slots: int) -> list[Unit]:
     whole = [Unit(p, 0, None, 0, n, i) for i, (p, n) in enumerate(zip(paths, names))]
     if len(paths) >= total_slots:
         return whole
-    starts = [_lines(p) for p in paths]
-    total = sum(map(len, starts))
+    lines = [_lines(p) for p in paths]
+    total = sum(lines)
     if not total:
         return whole
     out = []
-    for i, (p, name, s) in enumerate(zip(paths, names, starts)):
-        pieces = max(1, round(len(s) / total * total_slots))
-        each = max(1, -(-len(s) // pieces))
-        for a in range(0, len(s), each) if s else [0]:
-            out.append(Unit(p, a, min(each, len(s) - a), s[a] if s else 0, name, i))
+    for i, (p, name, n) in enumerate(zip(paths, names, lines)):
+        if not n:
+            out.append(Unit(p, 0, 0, 0, name, i))
+            continue
+        each = max(1, -(-n // max(1, round(n / total * total_slots))))
+        out += [Unit(p, k * each, min(each, n - k * each), at, name, i) for k, at in enumerate(_starts(p, each))]
     return out
 
 
@@ -145,27 +161,33 @@ def _unit_rows(spark: SparkSession, units: Sequence[Unit], read: Callable[[int,
     return spark.range(0, len(units), 1, max(1, len(units))).mapInArrow(run, schema)
 
 
-def read_lines(i: int, u: Unit, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    def out(rows: list[bytes], at: int) -> pa.RecordBatch:
-        n = len(rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([i] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array([x.decode("utf-8") for x in rows], pa.string())], [UNIT, ROW, "line"]
-        )
+def read_lines(i: int, u: Unit, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The lines of a unit, a block of the file at a time, split by Arrow."""
+    n = 0
+
+    def out(body: bytes) -> pa.RecordBatch:
+        nonlocal n
+        text = pa.array([body.removesuffix(b"\n")], pa.large_binary()).cast(pa.large_string())
+        lines = pc.utf8_rtrim(pc.split_pattern(text, "\n").flatten(), "\r\n").cast(pa.string())
+        lines = lines if u.rows is None else lines.slice(0, u.rows - n)
+        n += len(lines)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(lines), i, np.int32)), pa.array(np.arange(n - len(lines), n)), lines], [UNIT, ROW, "line"])
 
     with open(local(u.path), "rb") as f:
         f.seek(u.byte)
-        rows, n = [], 0
+        held: list[bytes] = []
         while u.rows is None or n < u.rows:
-            line = f.readline()
-            if not line:
-                break
-            rows.append(line.rstrip(b"\r\n"))
-            n += 1
-            if len(rows) == size:
-                yield out(rows, n - size)
-                rows = []
-        if rows:
-            yield out(rows, n - len(rows))
+            block = f.read(size)
+            if not block:
+                if held:
+                    yield out(b"".join(held))
+                return
+            cut = block.rfind(b"\n") + 1
+            if cut:
+                yield out(b"".join([*held, block[:cut]]))
+                held = []
+            if cut < len(block):
+                held.append(block[cut:])
 
 
 def scan_jsonl(spark: SparkSession, units: Sequence[Unit], schema: str | T.StructType | None = None) -> DataFrame:
@@ -281,9 +303,26 @@ def scan_tar(spark: SparkSession, units: Sequence[Unit], fields: Sequence[str] |
     return _unit_rows(spark, units, read, ", ".join([f"{UNIT} int, {ROW} long", *typed, "__key__ string, __shard__ string, __index_in_shard__ long"]))
 
 
-def counted(df: DataFrame, units: Sequence[Unit]) -> dict[int, int]:
-    """Rows of each unit: from the plan where known, else by a count of the source."""
+def _tar_rows(u: Unit, level: int) -> int:
+    """Samples of a tar, from its headers alone."""
+    n, key = 0, None
+    with tarfile.open(local(u.path), "r:*") as tar:
+        for m in tar:
+            base = os.path.basename(m.name)
+            if m.isfile() and not (base.startswith("__") and base.endswith("__")) and "." in base:
+                k = ".".join(base.split(".")[:level])
+                n, key = n + (k != key), k
+    return n
+
+
+def counted(spark: SparkSession, kind: str, units: Sequence[Unit], level: int | None = None) -> dict[int, int]:
+    """Rows of each unit: from the plan where known, else by counting lines or headers where the files lie; no content is parsed."""
     if all(u.rows is not None for u in units):
         return {i: u.rows for i, u in enumerate(units)}
-    got = {r[0]: r[1] for r in df.groupBy(UNIT).count().collect()}
-    return {i: got.get(i, 0) for i in range(len(units))}
+    level = (key_level() if level is None else level) if kind == "tar" else 0
+
+    def count(i: int, u: Unit) -> Iterator[pa.RecordBatch]:
+        n = _tar_rows(u, level) if kind == "tar" else _lines(u.path) if u.rows is None else u.rows
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64())], [UNIT, ROW])
+
+    return {r[0]: r[1] for r in _unit_rows(spark, units, count, f"{UNIT} int, {ROW} long").collect()}

@@ -17,7 +17,7 @@ from grainmill import CacheConfig, Dataset, Loader, ResumeStateError, RuntimeCon
 from grainmill.operators.order import POS, ROUND, SLOT
 from grainmill.plans import cache, codecs, identity
 from grainmill.plans.queries import FirstIds, Packer, _data
-from grainmill.sources import paths, readers, table
+from grainmill.sources import files, paths, readers, table
 from grainmill.streaming import loader as loading
 from grainmill.streaming import stream as streaming
 
@@ -65,6 +65,25 @@ def test_every_source_reads_all_rows(spark, shards, kind):
     assert [r[by] for r in one] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("ending", ["", "\n"])
+@pytest.mark.parametrize("size", [1, 7, 1 << 22])
+def test_lines_are_read_in_blocks(tmp_path, ending, size):
+    lines = ["{}", "", '{"x": "é"}', "a" * 50, "  ", "last"]
+    at = tmp_path / "x.jsonl"
+    at.write_bytes(("\r\n".join(lines[:3]) + "\n" + "\n".join(lines[3:]) + ending).encode())
+    u = files.Unit(str(at))
+    got = [x for b in files.read_lines(0, u, size) for x in b.column(2).to_pylist()]
+    assert got == lines and files._lines(str(at)) == 6
+    raw = at.read_bytes()
+    for each in (1, 2, 4, 6, 9):
+        starts = files._starts(str(at), each)
+        assert [raw[s:].split(b"\n")[0].decode().rstrip("\r") for s in starts] == lines[::each]
+        part = files.Unit(str(at), 2, 3, files._starts(str(at), 2)[1])
+        assert [x for b in files.read_lines(0, part, size) for x in b.column(2).to_pylist()] == lines[2:5]
+    at.write_bytes(b"")
+    assert files._lines(str(at)) == 0 and files._starts(str(at), 2) == [] and list(files.read_lines(0, u)) == []
+
+
 def test_split_of_jsonl_lines_for_more_slots_than_files(spark, shards):
     d = Dataset.from_source("jsonl", str(shards / "rows_0.jsonl"), RuntimeContext(world_size=3), spark=spark, schema=SCHEMA)
     assert sorted(r.value for r in d.frame().collect()) == [0, 2, 4]
