@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from grainmill.llm import linear
 from grainmill.llm import text as tx
-from grainmill.session import attach
+from grainmill.session import attach, cut, small
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -134,25 +134,13 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, dims: int = DIMS) -> Model:
     """Fit on a bounded sample of the rows that have a language. The sampled ids are broadcast (bounded), texts aren't shuffled."""
     attach(docs.sparkSession)
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    langs = [r[0] for r in known.select("_lang").distinct().limit(max_rows + 1).collect()]
-    each = max(1, max_rows // max(1, len(langs)))
+    each = max(1, max_rows // max(1, known.select("_lang").distinct().limit(max_rows + 1).count()))
     # the least hashes are found without a window over a whole language: a threshold first, from counts of 4,096 hash ranges
     h = F.pmod(F.xxhash64("_id"), F.lit(4096))
-    counts: dict[str, list[tuple[int, int]]] = {}
-    for r in known.groupBy("_lang", h.alias("h")).count().collect():
-        counts.setdefault(r[0], []).append((r[1], r[2]))
-    upto = {}
-    for lang, hs in counts.items():
-        total, upto[lang] = 0, 4095
-        for v, n in sorted(hs):
-            total += n
-            if total >= each:
-                upto[lang] = v
-                break
-    limit = F.lit(None).cast("int")
-    for lang, v in upto.items():
-        limit = F.when(F.col("_lang") == lang, F.lit(v)).otherwise(limit)
-    near = known.where(h <= limit)
+    upto = F.sum("n").over(Window.partitionBy("_lang").orderBy("h"))
+    counts = known.groupBy("_lang", h.alias("h")).agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
+    limits = counts.groupBy("_lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= each, F.col("h"))), F.lit(4095)).alias("_limit"))
+    near = known.join(small(cut(limits)), "_lang").where(h <= F.col("_limit"))
     by = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     sample = near.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= each).select("_id", "_lang").distinct()
 
