@@ -360,9 +360,26 @@ def assemble_pack(spark, sf):
     return f.select(F.col(SLOT).alias("slot"), F.col(POS).alias("pack"), "ids", "size")
 
 
-@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1")
+class Totals:
+    """Counts regions and joins their names in the order of the stream."""
+
+    def __init__(self) -> None:
+        self.n, self.names = 0, []
+
+    def push(self, row: dict) -> None:
+        self.n += 1
+        self.names.append(row["r_name"])
+
+    def finish(self) -> tuple:
+        return self.n, ",".join(self.names)
+
+
+@query("""SELECT count(*) AS n, sum(l_quantity)::DOUBLE AS quantity, (SELECT count(*) FROM region) AS regions, (SELECT string_agg(r_name, ',' ORDER BY r_regionkey) FROM region) AS names FROM lineitem""")
 def consume_fold(spark, sf):
-    return _data(spark, sf, "lineitem", columns=["l_returnflag", "l_quantity"]).dataframe().groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    """A fold in order over a small table by a consumer, and one that needs no order as an aggregate."""
+    regions, names = _data(spark, sf, "region").consume(Totals)
+    sums = _data(spark, sf, "lineitem", columns=["l_quantity"]).aggregate(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    return sums.select("n", "quantity", F.lit(regions).cast("long").alias("regions"), F.lit(names).alias("names"))
 
 
 class FirstIds:
