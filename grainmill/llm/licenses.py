@@ -223,6 +223,8 @@ def scan_words(h: np.ndarray, t: Template, coverage: float = COVERAGE) -> list[t
     np.cumsum(tx.lookup(_pairs(h), t.pairs) >= 0, out=steps[1 : len(h)])
     steps[len(h) :] = steps[len(h) - 1]
     good = steps[np.minimum(at + t.reach - 1, len(h) - 1)] - steps[at] >= follow
+    if not good.any():
+        return []
     kind = kind[at].tolist()
     upto = np.searchsorted(at, at + t.reach)
     out, seen, hi, begin = [], Counter(), 0, 0
@@ -249,6 +251,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ts = [t for t in (Template(k, v) for k, v in known.items()) if t.words]
+        vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t.vocab for t in ts)]))
+        holds = [np.isin(vocab, t.vocab) for t in ts]
         for b in batches:
             raw, off = tx.utf8(b.column(1))
             rows = []
@@ -257,10 +261,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
                 s, e, first = tx.spans(LOWER[part], o, tx.ALNUM)
                 h = tx.span_hashes(LOWER[part], s, e) if len(s) else np.zeros(0, np.uint64)
                 chars = None
-                for t in ts:
-                    # documents with enough of the template's words at all
-                    hit = np.flatnonzero(tx.lookup(h, t.vocab) >= 0)
-                    n = np.bincount(np.searchsorted(first, hit, "right") - 1, minlength=y - x)
+                # which words of any template each document has
+                which = tx.lookup(h, vocab)
+                hit = np.flatnonzero(which >= 0)
+                pairs = np.unique((np.searchsorted(first, hit, "right") - 1) * len(vocab) + which[hit]) if len(hit) else np.zeros(0, np.int64)
+                doc, word = np.divmod(pairs, max(1, len(vocab)))
+                for t, has in zip(ts, holds, strict=True):
+                    # documents with enough different words of the template at all
+                    n = np.bincount(doc[has[word]], minlength=y - x)
                     least = max(1, len(t.vocab) - int(len(t.words) * (1 - coverage) + 1e-9))
                     for d in np.flatnonzero(n >= least):
                         for lo, hi, c in scan_words(h[first[d] : first[d + 1]], t, coverage):
