@@ -203,6 +203,7 @@ def _covered(found, rows, removed):
 def test_passages_match_brute_force(spark, seed, keys, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "SHARD_KEYS", 40)
+    monkeypatch.setattr(suffix, "RUNS", 5)
     rng = random.Random(seed)
     pool = [prose(rng, rng.randint(10, 80)) for _ in range(8)]
     rows = []
