@@ -223,6 +223,24 @@ def test_passages_match_brute_force(spark, seed, keys, hot, monkeypatch):
     assert _covered(found, rows, False) == stays
 
 
+@pytest.mark.parametrize(("keys", "hot", "firsts"), [(suffix.MAX_KEYS, 3, 5), (0, 3, 5), (suffix.MAX_KEYS, 40, 0)])
+def test_many_hot_windows_are_not_broadcast(spark, keys, hot, firsts, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "FIRSTS", firsts, raising=False)
+    sent, real = [], suffix.F.broadcast
+    monkeypatch.setattr(suffix.F, "broadcast", lambda df: sent.append(df.count()) or real(df))
+    rng = random.Random(7)
+    shared, often = prose(rng, 8), prose(rng, 16)
+    tails = [prose(rng, 12) for _ in range(12)]
+    # a phrase with many continuations, each in a few documents, and a passage in all
+    rows = [(i, "  ".join((prose(rng, 5), shared, rng.choice(tails), prose(rng, 9), often, prose(rng, 6)))) for i in range(60)]
+    found = suffix.find(docs(spark, rows), 12, keys).collect()
+    removed, stays = _cut(rows, 12)
+    assert _covered(found, rows, True) == removed
+    assert _covered(found, rows, False) == stays
+    assert max(sent, default=0) <= firsts
+
+
 def test_cut_texts(spark):
     p, q = prose(RNG, 70), prose(RNG, 55)
     rows = [(1, f"a b c {p} d e f"), (2, f"é ü {p} tail {q}"), (3, p), (4, f"{q} end"), (5, None), (6, ""), (7, " ".join(p.split()[:49])), (None, f"null {q}"), (9, prose(RNG, 40_000))]
