@@ -4,13 +4,14 @@ Fingerprint: 128 bits over the set of distinct words (lower case, runs of letter
 ``LONG`` bytes weighs ``SHORT_WEIGHT``, as short words are mostly those that all texts of a language share.
 
 Search, exact: all pairs of distinct fingerprints that differ in at most ``h`` bits. The bits are ``BLOCKS`` blocks of 16, and block i
-has a limit t_i such that the sum of all t_i + 1 is h + 1: so a near pair differs in at most t_i bits of some block i, and is equal in one of t_i + 1 pieces of that block.
-Each fingerprint goes to the bucket of each of its h + 1 pieces. In a bucket fingerprints are sorted by the Gray rank of their bits, rotated so
+has a limit t_i such that the sum of all t_i + 1 is h + 1; a half of four blocks has the sum of their t_i + 1, less 1, as its limit. So a near pair is within the limit of one half, there
+within that of some block i, and is equal in one of t_i + 1 pieces of that block.
+Each fingerprint goes to the bucket of each of its h + 1 pieces. In a bucket fingerprints are sorted by the Gray rank of their bits, the half of the block first and rotated so
 that the block leads: neighbours in this order differ in few bits. Runs of ``GROUP`` become nodes of the first level, runs of
 ``FAN`` nodes those of the next, until few are left; a node keeps a mask of the bits that all its members share and their pattern. Two
-nodes can hold a near pair only if the shared bits of both differ in at most ``h`` places, and in at most t_i of the block, so whole pairs of groups are pruned by
-the differences accumulated there, from the top down; members are compared word by word, the second half only where the differences so far allow.
-A pair counts in the first block and piece that it meets in, so once. Buckets of more than ``BUCKET_ROWS`` are dealt into chunks, and each pair of chunks
+nodes can hold a near pair only if the shared bits of both differ in at most ``h`` places, in at most t_i of the block and in no more of the half than its limit, so whole pairs of groups are pruned by
+the differences accumulated there, from the top down; the children of two nodes, or their members, are compared all with all, and the second half only where the differences so far allow.
+A pair counts in the first piece that it meets in, so once. Buckets of more than ``BUCKET_ROWS`` are dealt into chunks, and each pair of chunks
 is a task: no bucket has to fit into one, however many fingerprints or however alike they are.
 
 Groups: the pairs' connected components, from a spanning forest per bucket (so that thousands of copies don't make millions
@@ -39,6 +40,8 @@ H = 24
 BLOCKS = 8
 GROUP = 8
 FAN = 16
+#: Pairs that are compared at a time; their differences (8 bytes each) should stay in a core's cache.
+TILE = 1 << 16
 LONG = 5
 SHORT_WEIGHT = 0.25
 #: Fingerprints in a chunk of a bucket (32 bytes each, several times over while they are sorted).
@@ -78,14 +81,9 @@ def fingerprints(column, long: int = LONG, short_weight: float = SHORT_WEIGHT) -
     return hi, lo, count
 
 
-def _rotate(hi: np.ndarray, lo: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits rotated to the left, so that bit ``by`` leads."""
-    if by >= 64:
-        hi, lo, by = lo, hi, by - 64
-    if not by:
-        return hi, lo
-    s, r = _U(by), _U(64 - by)
-    return (hi << s) | (lo >> r), (lo << s) | (hi >> r)
+def _rotate(x: np.ndarray, by: int) -> np.ndarray:
+    """64 bits rotated to the left, so that bit ``by`` leads."""
+    return (x << _U(by)) | (x >> _U(64 - by)) if by else x
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -123,8 +121,17 @@ def _cross(a: np.ndarray, b: np.ndarray, edge: np.ndarray, limit: int = 1 << 20)
         s = e
 
 
-def near_pairs(x: np.ndarray, starts: np.ndarray, h: int, group: int = GROUP, lead: int = 0, within: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows (i < j) of one run that differ in at most ``h`` bits, and of the first ``lead`` bits in at most ``within``.
+def _true(k: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of a contiguous mask, faster if few are true."""
+    k = k.ravel()
+    n = len(k) // 8 * 8
+    w = np.flatnonzero(k[:n].view(_U))
+    at = np.flatnonzero(k[:n].reshape(-1, 8)[w])
+    return np.append(8 * w[at // 8] + at % 8, n + np.flatnonzero(k[n:]))
+
+
+def near_pairs(x: np.ndarray, starts: np.ndarray, h: int, group: int = GROUP, lead: int = 0, within: int = 0, half: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows (i < j) of one run that differ in at most ``h`` bits, of the first ``lead`` bits in at most ``within`` and of the first 64 in at most ``half``.
 
     x: (n, 2) uint64 in Gray order within each run; starts: where the runs begin. Yields index arrays.
     """
@@ -139,33 +146,69 @@ def near_pairs(x: np.ndarray, starts: np.ndarray, h: int, group: int = GROUP, le
         up = _cuts(first, len(cuts), FAN)
         levels.append((*_nodes(o, z, up), np.append(up, len(cuts))))
         first, cuts = np.searchsorted(up, first), up
-    drop = _U(64 - lead) if lead else None
-
-    def descend(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        o, z, edge = levels[level]
-        u = (o[i, 0] & z[j, 0]) | (z[i, 0] & o[j, 0])
-        k = np.bitwise_count(u) + np.bitwise_count((o[i, 1] & z[j, 1]) | (z[i, 1] & o[j, 1])) <= h
-        if lead:
-            k &= np.bitwise_count(u >> drop) <= within
-        for a, b in _cross(i[k], j[k], edge):
+    drop, least = _U(64 - lead) if lead else None, min(h, half)
+    one, two = np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1])
+    halves = [tuple(np.ascontiguousarray(c[:, k]) for k in (0, 1) for c in (o, z)) for o, z, _ in levels]  # ones, zeros of the first half, of the second
+
+    def alike(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether nodes can hold a near pair."""
+        o, z, p, q = halves[level]
+        u = (o[i] & z[j]) | (z[i] & o[j])
+        n = np.bitwise_count(u)
+        k = (n <= half) & (n + np.bitwise_count((p[i] & q[j]) | (q[i] & p[j])) <= h)
+        return k & (np.bitwise_count(u >> drop) <= within) if lead else k
+
+    def descend(level: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # children of some pairs of nodes at a time, each of one node with each of the other: only those that the first half leaves are looked at one by one
+        edge, wide = levels[level][2], FAN if level else group
+        step = max(1, TILE // wide**2)
+        for s in range(0, len(a), step):
+            c, d = a[s : s + step], b[s : s + step]
+            i, j = edge[c] + np.arange(wide)[:, None], edge[d] + np.arange(wide)[:, None]  # (child, pair)
+            full = i < edge[c + 1], j < edge[d + 1]
+            i, j = np.minimum(i, edge[-1] - 1), np.minimum(j, edge[-1] - 1)
             if level:
-                yield from descend(level - 1, a, b)
+                o, z = halves[level - 1][:2]
+                u = (o[i][:, None] & z[j]) | (z[i][:, None] & o[j])
+                k = np.bitwise_count(u >> drop) <= within if lead else np.bitwise_count(u) <= least
+            else:
+                k = np.bitwise_count(one[i][:, None] ^ one[j]) <= least
+            if not all(f.all() for f in full):
+                k &= full[0][:, None] & full[1]
+            at, k = np.divmod(_true(k), len(c))
+            u, v = np.divmod(at, wide)
+            i, j = i[u, k], j[v, k]
+            k = i <= j if level else i < j  # within a node each pair once
+            i, j = i[k], j[k]
+            if level:
+                k = alike(level - 1, i, j)
+                yield from descend(level - 1, i[k], j[k])
                 continue
-            k = a < b
-            a, b = a[k], b[k]
-            u = x[a, 0] ^ x[b, 0]
-            d = np.bitwise_count(u)
-            k = d <= h
+            u = one[i] ^ one[j]
+            k = np.bitwise_count(u) + np.bitwise_count(two[i] ^ two[j]) <= h  # the first half is within its limit
             if lead:
                 k &= np.bitwise_count(u >> drop) <= within
-            a, b, d = a[k], b[k], d[k]
-            k = d + np.bitwise_count(x[a, 1] ^ x[b, 1]) <= h
             if k.any():
-                yield a[k], b[k]
+                yield i[k], j[k]
 
     runs = np.arange(len(starts))
     for i, j in _cross(runs, runs, np.append(first, len(cuts))):
-        yield from descend(len(levels) - 1, i, j)
+        k = alike(len(levels) - 1, i, j)
+        yield from descend(len(levels) - 1, i[k], j[k])
+
+
+def _together(pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, at least so many at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for p in pairs:
+        held.append(p)
+        n += len(p[0])
+        if n >= least:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 class _Forest:
@@ -206,12 +249,17 @@ def pieces(h: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _half(h: int, block: int) -> int:
+    """The limit of the half that ``block`` lies in: near pairs are within that of one half, and then within that of one of its blocks."""
+    return sum(b // 4 == block // 4 for b, *_ in pieces(h)) - 1
+
+
 def _earlier(u: np.ndarray, k: int, h: int) -> np.ndarray:
     """Whether pairs with the differences ``u`` (n, 2) meet in a piece before ``k``."""
     out = np.zeros(len(u), bool)
     for b, limit, at, bits in pieces(h)[:k]:
         block = (u[:, b // 4] >> _U(48 - 16 * (b % 4))) & _U(0xFFFF)
-        out |= (np.bitwise_count(block) <= limit) & ((block >> _U(16 - at - bits)) & _U((1 << bits) - 1) == 0)
+        out |= (np.bitwise_count(u[:, b // 4]) <= _half(h, b)) & (np.bitwise_count(block) <= limit) & ((block >> _U(16 - at - bits)) & _U((1 << bits) - 1) == 0)
     return out
 
 
@@ -221,11 +269,11 @@ def _bucket(table: pa.Table, h: int, group: int) -> pa.Table:
     block, limit, _, _ = pieces(h)[k]
     ids, many = table["id"].to_numpy(), table["n"].to_numpy()
     x = np.stack([table[c].to_numpy().view(_U) for c in ("hi", "lo")], axis=1)
-    r = np.stack(_rotate(x[:, 0], x[:, 1], 16 * block), axis=1)
+    r = np.stack([_rotate(x[:, block // 4], 16 * (block % 4)), x[:, 1 - block // 4]], axis=1)
     order = np.lexsort((gray_rank(r[:, 1]), gray_rank(r[:, 0])))
     x, r, ids, many, mine = x[order], r[order], ids[order], many[order], table["own"].to_numpy()[order]
     forest, links = _Forest(len(ids)), np.zeros(len(ids), np.int64)
-    for a, b in near_pairs(r, np.zeros(1, np.int64), h, group, 16, limit):
+    for a, b in _together(near_pairs(r, np.zeros(1, np.int64), h, group, 16, limit, _half(h, block))):
         ok = ~_earlier(x[a] ^ x[b], k, h) & (ids[a] != ids[b])
         if one != two:
             ok &= mine[a] != mine[b]
