@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grainmill.llm import text as tx
-from grainmill.session import attach, cut, small
+from grainmill.session import attach, cut, cut_round, small
 
 H = 24
 BLOCKS = 8
@@ -327,13 +327,13 @@ def near(points: DataFrame, h: int = H, group: int = GROUP) -> DataFrame:
 def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``id, root`` for every id in ``pairs`` (a, b): root is the lowest id of its connected component."""
     both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    e = cut(pairs.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct())
-    label = cut(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    e = cut_round(pairs.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct())
+    label = cut_round(e.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     for _ in range(max_rounds):
         by_edge = e.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("seen"))
         step = label.join(by_edge, "id").select("id", F.least("root", "seen").alias("root"), F.col("root").alias("old"))
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        new = cut(step.join(jump, "root").select("id", F.least("root", "up").alias("root"), (F.least("root", "up") != F.col("old")).alias("moved")))
+        new = cut_round(step.join(jump, "root").select("id", F.least("root", "up").alias("root"), (F.least("root", "up") != F.col("old")).alias("moved")))
         label = new.select("id", "root")
         if not new.where("moved").limit(1).count():
             return label

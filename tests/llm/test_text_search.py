@@ -130,6 +130,13 @@ def test_long_chain_and_many_copies(spark):
     assert {r.root for r in simhash.components(pairs).collect()} == {0}
 
 
+def test_rounds_of_components_do_not_add_up_in_plans(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    label = simhash.components(chain)
+    assert label.count() == 101
+    assert int(label._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 128
+
+
 # -- decontamination -------------------------------------------------------------------------------------------------
 
 
