@@ -1,14 +1,15 @@
 """Scans of Parquet, JSONL and tar shards (S3-S11, S18, S21, S22).
 
 Each gives a frame of rows with their unit (``__unit__``) and row in it (``__row__``), and the table of units. Parquet is Spark's own
-reader, with file and row number from ``_metadata``. JSONL and tar shards are read where they lie: one row of ``spark.range`` a unit, one
-task a unit, whose lines or members are streamed through Arrow; JSON is then parsed by Spark.
+reader, with file and row number from ``_metadata``. JSONL and tar shards are read where they lie: a task has some units, one after the
+other, whose lines or members are streamed through Arrow; JSON is then parsed by Spark.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 import tarfile
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -27,6 +28,8 @@ from grainmill.sources.paths import local, logical, read_from
 
 UNIT, ROW = "__unit__", "__row__"
 FOOTER_THREADS = 16
+#: Tasks for each core over file units, and units of a task where there are more units than that.
+WAVES, UNITS_A_TASK = 4, 256
 
 
 @dataclass(frozen=True)
@@ -150,15 +153,20 @@ def jsonl_units(paths: Sequence[str], total_slots: int) -> list[Unit]:
 
 
 def _unit_rows(spark: SparkSession, units: Sequence[Unit], read: Callable[[int, Unit], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    attach(spark)
-    units = tuple(units)
+    """What ``read`` gives for each unit. A task has its own units only, several where there are many, so that neither tasks nor what is sent to them grow with the square of the units."""
+    sc = attach(spark).sparkContext
+    n = min(len(units), max(WAVES * sc.defaultParallelism, -(-len(units) // UNITS_A_TASK)))
+    edge = [len(units) * k // max(n, 1) for k in range(n + 1)]
+    parts = [(bytearray(pickle.dumps((x, units[x:y]))),) for x, y in zip(edge, edge[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in b.column(0).to_pylist():
-                yield from read(i, units[i])
+            for part in b.column(0):
+                first, mine = pickle.loads(part.as_py())
+                for i, u in enumerate(mine, first):
+                    yield from read(i, u)
 
-    return spark.range(0, len(units), 1, max(1, len(units))).mapInArrow(run, schema)
+    return spark.createDataFrame(sc.parallelize(parts, max(n, 1)), "part binary").mapInArrow(run, schema)
 
 
 def read_lines(i: int, u: Unit, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:

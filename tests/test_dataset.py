@@ -17,7 +17,7 @@ from grainmill import CacheConfig, Dataset, Loader, ResumeStateError, RuntimeCon
 from grainmill.operators.order import POS, ROUND, SLOT
 from grainmill.plans import cache, codecs, identity
 from grainmill.plans.queries import FirstIds, Packer, _data
-from grainmill.sources import files, paths, readers, table
+from grainmill.sources import export, files, paths, readers, table
 from grainmill.streaming import loader as loading
 from grainmill.streaming import stream as streaming
 
@@ -84,6 +84,25 @@ def test_lines_are_read_in_blocks(tmp_path, ending, size):
     assert files._lines(str(at)) == 0 and files._starts(str(at), 2) == [] and list(files.read_lines(0, u)) == []
 
 
+def test_many_units_share_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "WAVES", 1, raising=False)
+    monkeypatch.setattr(files, "UNITS_A_TASK", 16, raising=False)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # units go over the ends of batches
+    try:
+        rows = spark.range(0, 200, 1, 3).withColumn("n", F.col("id") * 10)
+        at = [export.jsonl_files(rows, F.floor(F.col("id") / 5), -F.col("id"), str(tmp_path / "j")), export.tar_files(rows, F.floor(F.col("id") / 5), -F.col("id"), F.col("id"), {"n": F.col("n").cast("string")}, str(tmp_path / "t"))]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert [len(x) for x in at] == [40, 40]
+    assert [json.loads(x) for x in open(at[0][1])] == [{"id": i, "n": i * 10} for i in (9, 8, 7, 6, 5)]
+    d = Dataset.from_source("jsonl", at[0], RuntimeContext(), spark=spark, schema="id long, n long", shuffle_mode="none")
+    assert [r["id"] for r in d.rows()] == [5 * u + 4 - i for u in range(40) for i in range(5)]
+    t = Dataset.from_source("tar", at[1], RuntimeContext(), spark=spark, fields=["n"], shuffle_mode="none")
+    assert [(r["__key__"], r["n"]) for r in t.rows()] == [(str(i), str(i * 10).encode()) for i in (5 * u + 4 - i for u in range(40) for i in range(5))]
+    assert files.scan_tar(spark, t.source, ["n"]).rdd.getNumPartitions() == 4  # of 40 units
+
+
 def test_split_of_jsonl_lines_for_more_slots_than_files(spark, shards):
     d = Dataset.from_source("jsonl", str(shards / "rows_0.jsonl"), RuntimeContext(world_size=3), spark=spark, schema=SCHEMA)
     assert sorted(r.value for r in d.frame().collect()) == [0, 2, 4]
