@@ -89,10 +89,23 @@ def _uri(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else "file:" + os.path.abspath(path)
 
 
+def read_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The files as a frame. Spark lists many paths in a job of a task a path (up to 10,000); here it has ``WAVES`` tasks a core."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    had, most = spark.conf.get(name), WAVES * spark.sparkContext.defaultParallelism
+    if int(had) <= most:
+        return spark.read.parquet(*paths)
+    spark.conf.set(name, str(most))
+    try:
+        return spark.read.parquet(*paths)
+    finally:
+        spark.conf.set(name, had)
+
+
 def scan_parquet(spark: SparkSession, units: Sequence[Unit], columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of the units with ``__file__, __index_in_file__, __key__``. Rows outside the units (after split or sample) are left out."""
     paths = list(dict.fromkeys(u.path for u in units))
-    df = spark.read.parquet(*paths)
+    df = read_parquet(spark, paths)
     data = df.columns if columns is None else [c for c in columns]
     df = df.select(*[df[c] for c in data], read_from().alias("__at__"), F.col("_metadata.row_index").alias("__index_in_file__"))
     rows = [(i, os.path.abspath(local(u.path)) if "://" not in local(u.path) else u.path, u.path, u.first, u.first + (u.rows or 0)) for i, u in enumerate(units)]

@@ -103,6 +103,25 @@ def test_many_units_share_tasks(spark, tmp_path, monkeypatch):
     assert files.scan_tar(spark, t.source, ["n"]).rdd.getNumPartitions() == 4  # of 40 units
 
 
+def test_many_files_are_listed_in_few_tasks(spark, tmp_path):
+    at = export.parquet_files(spark.range(200), F.floor(F.col("id") / 2), F.col("id"), str(tmp_path / "p"))
+    assert len(at) == 100
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    had = spark.conf.get(name)
+    group = "listing"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        d = Dataset.from_source("parquet", at, RuntimeContext(), spark=spark, shuffle_mode="none")
+        df = files.scan_parquet(spark, d.source)
+        track = spark.sparkContext.statusTracker()
+        stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup(group) for s in track.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert stages and max(s.numTasks for s in stages if s) <= files.WAVES * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == had
+    assert sorted((r.id, r["__index_in_file__"]) for r in df.collect()) == [(i, i % 2) for i in range(200)]
+
+
 def test_split_of_jsonl_lines_for_more_slots_than_files(spark, shards):
     d = Dataset.from_source("jsonl", str(shards / "rows_0.jsonl"), RuntimeContext(world_size=3), spark=spark, schema=SCHEMA)
     assert sorted(r.value for r in d.frame().collect()) == [0, 2, 4]
