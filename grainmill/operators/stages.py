@@ -114,7 +114,9 @@ def shuffle(df: DataFrame, buffer_size: int, initial: int | None, seed: int, per
     counts = df.groupBy(F.col(SLOT).cast("int").alias(SLOT)).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.repartition(df.sparkSession.sparkContext.defaultParallelism, SLOT)
     moved = counts.mapInArrow(run, f"{SLOT} int, {POS} long, __to__ long")
-    out = df.join(moved, [SLOT, POS]).withColumn(POS, F.col("__to__")).drop("__to__")
+    # by a number of parts that is not put together again: rows pack tightly when shuffled, and by those bytes a task's sort would get many of them
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartition(parts, SLOT, POS).join(moved.repartition(parts, SLOT, POS), [SLOT, POS]).withColumn(POS, F.col("__to__")).drop("__to__")
     return out.select(*df.columns)
 
 

@@ -277,3 +277,10 @@ def test_file_barrier(tmp_path):
         FileBarrier(str(tmp_path), 0, 2, 0.2).wait("alone")
     with pytest.raises(ValueError):
         FileBarrier(str(tmp_path), 2, 2)
+
+
+def test_bounded_shuffle_sorts_in_all_parts(spark):
+    df = spark.range(90).selectExpr(f"cast(id % 2 as int) AS {SLOT}", "0 AS __round__", f"id div 2 AS {POS}", "id")
+    out = stages.shuffle(df, 3, 2, 11)
+    assert sorted((r[SLOT], r[POS], r.id) for r in out.collect()) == [(s, to, 2 * x + s) for s in (0, 1) for to, x in enumerate(stages.reservoir(45, 3, 2, 11 + s))]
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
